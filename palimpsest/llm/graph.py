@@ -1,0 +1,38 @@
+"""Connected components of an edge table, without collecting it."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from palimpsest.cluster import cut
+
+#: Rounds that any graph of 2**ROUNDS nodes needs at most, by a wide margin.
+ROUNDS = 60
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """Rows (node, component) of the nodes that have edges (a, b); component is the smallest node reachable.
+
+    Each round hangs every node's larger neighbours on the smallest one (large star), then its smaller ones
+    (small star), until nothing changes: all edges then lead to the smallest node of their component.  Rounds
+    grow with the logarithm of the size; each is written to the checkpoint folder.  Null ends and loops count
+    for nothing."""
+    now = cut(edges.select("a", "b").where("a <> b").distinct())
+    for _ in range(ROUNDS):
+        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
+        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        # now a > b in each row
+        small = large.groupBy("a").agg(F.min("b").alias("m"))
+        new = large.join(small, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
+        new = cut(new)
+        # a star forest: no end b is an a, and each a has one b
+        left = new.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a").union(new.select("b").join(new.select(F.col("a").alias("b")), "b", "left_semi")).limit(1).count()
+        now = new
+        if not left:
+            break
+    else:
+        raise RuntimeError("components did not converge")
+    roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
+    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
