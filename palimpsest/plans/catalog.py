@@ -1,4 +1,4 @@
 """All registered queries of the library, and their SQL."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from palimpsest.plans import context, joins, metrics, quality, retrieval, sets, sources, streams, text  # noqa: F401
+from palimpsest.plans.registry import QUERIES, SQL  # noqa: F401
