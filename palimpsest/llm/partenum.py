@@ -200,7 +200,8 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     The key is an integer; rows whose key is null come back with null component and links."""
     rows = cut(classes(docs, key, text, n))
     cls = rows.where("digest IS NOT NULL AND id IS NOT NULL").groupBy("digest", "node").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.max("size").alias("size"))
-    dealt = signed(docs, text, n, percent).repartition("sig")
+    # the filter is what the join would add; with it both readers share one exchange
+    dealt = signed(docs, text, n, percent).where("sig IS NOT NULL AND node IS NOT NULL").repartition("sig")
     shared = dealt.groupBy("sig").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("sig", "least")
     ties = dealt.join(shared, "sig").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
     member = components(ties).join(cls, "node").select("rep", "component", "copies", "size")
