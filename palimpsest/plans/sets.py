@@ -1 +1,106 @@
-"""To be filled."""
+"""Set, split, sample, budget and graph queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from palimpsest.operators import graph, sets
+from palimpsest.plans.registry import query, table
+
+
+@query("WITH u AS (SELECT s_suppkey AS id, lower(trim(n_name)) AS k, n_name AS title, 0 AS source_rank FROM supplier JOIN nation ON s_nationkey = n_nationkey UNION ALL SELECT c_custkey, lower(trim(n_name)), n_name, 1 FROM customer JOIN nation ON c_nationkey = n_nationkey), r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY source_rank, id) AS rn FROM u) SELECT id, title, source_rank FROM r WHERE rn = 1")
+def combined_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two sources in order of priority; equal titles count once."""
+    nation = table(spark, sf_dir, "nation")
+    s = table(spark, sf_dir, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("id"), F.col("n_name").alias("title"))
+    c = table(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("id"), F.col("n_name").alias("title"))
+    return sets.first_wins([s, c], F.lower(F.trim("title")), "id")
+
+
+@query("SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def resume_remaining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a resumed run has still to do."""
+    return sets.unseen(table(spark, sf_dir, "documents").select("doc_id", "lang"), table(spark, sf_dir, "labels"), "doc_id")
+
+
+SPLIT = """WITH c AS (SELECT source, count(*) AS n FROM documents GROUP BY 1), r AS (SELECT *, sum(n) OVER (ORDER BY n, source) AS so_far, floor(sum(n) OVER () * 0.1::DOUBLE) AS wanted FROM c),
+s AS (SELECT source, n, CASE WHEN so_far - n < wanted THEN 'eval' ELSE 'train' END AS split FROM r)
+"""
+
+
+@query(SPLIT + "SELECT * FROM s")
+def assign_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sets.splits(table(spark, sf_dir, "documents"), "source")
+
+
+@query(SPLIT + ", b AS (SELECT substr(sha256(source), 1, 2) AS block, sha256(string_agg(source || chr(9) || split || chr(10), '' ORDER BY source || chr(9) || split || chr(10))) AS digest, count(*) AS n FROM s GROUP BY 1) SELECT sha256(string_agg(digest, '' ORDER BY block)) AS sha256, sum(n)::BIGINT AS n_groups, 0::BIGINT AS n_mixed FROM b")
+def split_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sets.manifest(sets.splits(table(spark, sf_dir, "documents"), "source"), "source")
+
+
+@query(SPLIT + "SELECT split, lang, count(*) AS n FROM documents JOIN s USING (source) GROUP BY 1, 2")
+def route_by_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of each split, by the manifest."""
+    docs = table(spark, sf_dir, "documents")
+    return docs.join(sets.splits(docs, "source").select("source", "split"), "source").groupBy("split", "lang").agg(F.count("*").alias("n"))
+
+
+@query("WITH r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5(doc_id::VARCHAR || ':42'), doc_id) AS place FROM documents) SELECT doc_id, lang, place::INT AS place FROM r WHERE place <= 10")
+def seeded_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten documents of each language by a seeded order."""
+    return sets.sample_per(table(spark, sf_dir, "documents").select("doc_id", "lang"), "lang", "doc_id", 10)
+
+
+@query("WITH r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS place FROM documents) SELECT doc_id, source, place::INT AS place FROM r ORDER BY place, source LIMIT 50")
+def round_robin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources in turn, fifty rows in all."""
+    return sets.interleaved(table(spark, sf_dir, "documents").select("doc_id", "source"), "source", "doc_id", 50)
+
+
+@query("WITH r AS (SELECT doc_id, source, n_chars, coalesce(sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM documents) SELECT * FROM r WHERE before < 5000")
+def filler_until_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sets.until_budget(table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars"), "source", "doc_id", "n_chars", 5000)
+
+
+@query("""WITH RECURSIVE i AS (SELECT conv_id, turn, length(text) AS s, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations),
+f AS (SELECT conv_id, 0::BIGINT AS k, []::BIGINT[] AS taken, 0::BIGINT AS used FROM (SELECT DISTINCT conv_id FROM i)
+  UNION ALL SELECT f.conv_id, i.k, CASE WHEN f.used + i.s <= 1000 THEN list_append(f.taken, i.turn) ELSE f.taken END, CASE WHEN f.used + i.s <= 1000 THEN f.used + i.s ELSE f.used END FROM f JOIN i ON i.conv_id = f.conv_id AND i.k = f.k + 1)
+SELECT conv_id, max_by(taken, k) AS taken, max_by(used, k) AS used FROM f GROUP BY 1""")
+def greedy_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages of a conversation that fit a budget, too large ones skipped."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.length("text").alias("size"))
+    return sets.packed(rows, "conv_id", "turn", "size", 1000)
+
+
+@query()
+def question_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Greedy: of a language's labelled short documents those that overlap little with better ones, five at most."""
+    docs = table(spark, sf_dir, "documents").where("n_chars < 400")
+    rows = docs.select(F.concat_ws("/", "lang", "source").alias("grp"), "doc_id", "n_chars", sets.word_set(F.col("text")).alias("words"))
+    return sets.greedy_dedup(rows, "grp", "doc_id", "n_chars", "words")
+
+
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT a.o_custkey AS a, b.o_custkey AS b FROM (SELECT DISTINCT o_custkey, date_trunc('day', o_orderdate) AS d, floor(o_totalprice / 50000) AS p FROM orders) a JOIN (SELECT DISTINCT o_custkey, date_trunc('day', o_orderdate) AS d, floor(o_totalprice / 50000) AS p FROM orders) b USING (d, p)),
+r(n, m) AS (SELECT DISTINCT a, a FROM e UNION SELECT e.a, r.m FROM r JOIN e ON e.b = r.n WHERE r.m < e.a) SELECT n AS cust, min(m) AS component FROM r GROUP BY n""")
+def fact_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Connected components of customers that share a day and a price class (as facts share a hunk)."""
+    o = table(spark, sf_dir, "orders")
+    key = F.concat_ws("/", F.date_trunc("day", "o_orderdate").cast("string"), F.floor(F.col("o_totalprice") / 50000).cast("string"))
+    return graph.shared_key_components(o.select(F.col("o_custkey").alias("cust"), key.alias("key")), "cust", "key")
+
+
+@query()
+def personalised_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rank of parts and suppliers from the parts of one brand, over their orders."""
+    li = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("p"), F.col("l_partkey")).alias("a"), F.concat(F.lit("s"), F.col("l_suppkey")).alias("b")).distinct()
+    edges = li.unionByName(li.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    seeds = table(spark, sf_dir, "part").where("p_brand = (SELECT min(p_brand) FROM VALUES ('Brand#11') t(p_brand))").select(F.concat(F.lit("p"), F.col("p_partkey")).alias("node"))
+    return graph.page_rank(edges, seeds, 5).select("node", F.round("rank", 9).alias("rank"))
+
+
+@query("WITH d AS (SELECT source, lang, count(*) AS n FROM documents GROUP BY ROLLUP (source, lang)) SELECT coalesce(source, 'all') AS source, coalesce(lang, 'all') AS lang, n FROM d")
+def view_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detail and totals."""
+    d = table(spark, sf_dir, "documents").rollup("source", "lang").agg(F.count("*").alias("n"))
+    return d.select(F.coalesce("source", F.lit("all")).alias("source"), F.coalesce("lang", F.lit("all")).alias("lang"), "n")
