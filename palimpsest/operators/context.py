@@ -8,13 +8,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 MASK = "[masked]"
 ERRORS = r"(?i)error:|traceback|exception|fail"
-CONV = Window.partitionBy("conv")
-IN_ORDER = Window.partitionBy("conv").orderBy("pos")
+
+
+def whole() -> WindowSpec:
+    """A conversation."""
+    return Window.partitionBy("conv")
+
+
+def in_order() -> WindowSpec:
+    """A conversation up to a message."""
+    return Window.partitionBy("conv").orderBy("pos")
 
 
 def tokens(c: Column) -> Column:
@@ -24,7 +32,7 @@ def tokens(c: Column) -> Column:
 
 def placed(df: DataFrame) -> DataFrame:
     """Adds n (messages) and back (place from the end, from 1)."""
-    return df.withColumns({"n": F.count("*").over(CONV), "back": F.count("*").over(CONV) - F.col("pos")})
+    return df.withColumns({"n": F.count("*").over(whole()), "back": F.count("*").over(whole()) - F.col("pos")})
 
 
 def extract(n: int = 200, cap: int = 2000) -> Callable[[Column], Column]:
@@ -34,7 +42,7 @@ def extract(n: int = 200, cap: int = 2000) -> Callable[[Column], Column]:
 
 def pass_through(df: DataFrame) -> DataFrame:
     """All messages, with the running number of tokens."""
-    return df.select("conv", F.col("pos").alias("ord"), "pos", "role", "content", F.sum(tokens(F.col("content"))).over(IN_ORDER).alias("tokens_so_far"))
+    return df.select("conv", F.col("pos").alias("ord"), "pos", "role", "content", F.sum(tokens(F.col("content"))).over(in_order()).alias("tokens_so_far"))
 
 
 def masked(df: DataFrame, keep_first: int, window: int) -> DataFrame:
@@ -46,7 +54,7 @@ def masked(df: DataFrame, keep_first: int, window: int) -> DataFrame:
 
 def classed(df: DataFrame, keep_first: int, keep_recent: int) -> DataFrame:
     """Adds part: 0 pinned (the first ones, and the first user message after them), 1 middle, 2 tail (the last ones that aren't pinned)."""
-    first_user = F.min(F.when((F.col("role") == "user") & (F.col("pos") >= keep_first), F.col("pos"))).over(CONV)
+    first_user = F.min(F.when((F.col("role") == "user") & (F.col("pos") >= keep_first), F.col("pos"))).over(whole())
     rows = df.withColumn("pinned", (F.col("pos") < keep_first) | F.coalesce(F.col("pos") == first_user, F.lit(False)))
     rank = F.row_number().over(Window.partitionBy("conv", "pinned").orderBy(F.col("pos").desc()))
     return rows.withColumn("part", F.when(F.col("pinned"), 0).when(rank <= keep_recent, 2).otherwise(1)).drop("pinned")
@@ -63,7 +71,7 @@ def with_summary(df: DataFrame, summarise: Callable[[Column], Column]) -> DataFr
 
 def adaptive_budget(df: DataFrame, max_tokens: int, keep_first: int = 1, keep_recent: int = 2, summarise: Callable[[Column], Column] | None = None) -> DataFrame:
     """Above a budget of tokens: pinned messages, a summary of the middle, the tail; below it everything."""
-    total = F.sum(tokens(F.col("content"))).over(CONV)
+    total = F.sum(tokens(F.col("content"))).over(whole())
     rows = classed(df, keep_first, keep_recent).withColumn("part", F.when(total > max_tokens, F.col("part")).otherwise(0))
     return with_summary(rows, summarise or extract())
 
@@ -74,7 +82,7 @@ def condensed(df: DataFrame, max_size: int, keep_first: int = 1, share: float =
     rows = placed(df)
     over = F.col("n") > max_size
     if max_tokens is not None:
-        over = over | (F.sum(tokens(F.col("content"))).over(CONV) > max_tokens)
+        over = over | (F.sum(tokens(F.col("content"))).over(whole()) > max_tokens)
     rows = rows.withColumn("part", F.when(~over | (F.col("pos") < keep_first), 0).when(F.col("back") <= tail, 2).otherwise(1))
     return with_summary(rows, summarise or extract())
 
@@ -88,7 +96,7 @@ def sliding_window(df: DataFrame, window: int, keep_first: int = 1, summarise: C
 
 def naive_summary(df: DataFrame, max_tokens: int, keep_first: int, keep_recent: int, summarise: Callable[[Column], Column] | None = None) -> DataFrame:
     """Above the budget: head, summary, last messages; where the whole is shorter than the tail, the head comes twice."""
-    rows = placed(df).withColumn("over", F.sum(tokens(F.col("content"))).over(CONV) > max_tokens)
+    rows = placed(df).withColumn("over", F.sum(tokens(F.col("content"))).over(whole()) > max_tokens)
     head, tail = F.col("pos") < keep_first, F.col("back") <= keep_recent
     kept = rows.where("NOT over").withColumn("part", F.lit(0))
     kept = kept.unionByName(rows.where(F.col("over") & head).withColumn("part", F.lit(0))).unionByName(rows.where(F.col("over") & tail).withColumn("part", F.lit(2)))
@@ -99,7 +107,7 @@ def naive_summary(df: DataFrame, max_tokens: int, keep_first: int, keep_recent:
 def view(df: DataFrame, ranges: DataFrame) -> DataFrame:
     """Drops messages in the union of the half-open ranges (conv, start, end, summary, offset, seq) and puts the last range's summary at its offset."""
     dropped = df.alias("m").join(ranges.alias("r"), (F.col("m.conv") == F.col("r.conv")) & (F.col("m.pos") >= F.col("r.start")) & (F.col("m.pos") < F.col("r.end")), "left_anti")
-    kept = dropped.select("conv", "pos", "role", "content", (F.row_number().over(IN_ORDER) - 1).alias("place"))
+    kept = dropped.select("conv", "pos", "role", "content", (F.row_number().over(in_order()) - 1).alias("place"))
     last = ranges.groupBy("conv").agg(F.max_by(F.struct("summary", "offset"), "seq").alias("s"))
     summary = last.select("conv", F.lit(None).cast(df.schema["pos"].dataType).alias("pos"), F.lit("user").alias("role"), F.col("s.summary").alias("content"), F.col("s.offset").alias("place"))
     rows = kept.withColumn("late", F.lit(1)).unionByName(summary.withColumn("late", F.lit(0)))
@@ -135,17 +143,17 @@ def neighbours(df: DataFrame, event: Column, reach: int) -> DataFrame:
 
 def rising(df: DataFrame, flag: Column) -> DataFrame:
     """Messages where the flag turns true."""
-    return df.withColumn("now", flag).withColumn("was", F.lag("now", 1, False).over(IN_ORDER)).where("now AND NOT was").drop("now", "was")
+    return df.withColumn("now", flag).withColumn("was", F.lag("now", 1, False).over(in_order())).where("now AND NOT was").drop("now", "was")
 
 
 def repair_tool_calls(df: DataFrame) -> DataFrame:
     """Rows (conv, pos, role, content, calls array<string>, call_id): drops tool messages whose nearest earlier message that
     is no tool message isn't an assistant's with that call, then calls without an answer; an assistant left with neither says (continued)."""
-    before = F.last(F.when(F.col("role") != "tool", F.struct("role", "calls")), True).over(IN_ORDER.rowsBetween(Window.unboundedPreceding, -1))
+    before = F.last(F.when(F.col("role") != "tool", F.struct("role", "calls")), True).over(in_order().rowsBetween(Window.unboundedPreceding, -1))
     held = (F.col("b.role") == "assistant") & F.array_contains(F.col("b.calls"), F.col("call_id"))
     rows = df.withColumn("b", before).where((F.col("role") != "tool") | F.coalesce(held, F.lit(False)))
     # the messages of a turn: an assistant's and the tool messages after it
-    turn = F.count_if(F.col("role") != "tool").over(IN_ORDER)
+    turn = F.count_if(F.col("role") != "tool").over(in_order())
     rows = rows.withColumn("turn", turn).withColumn("answered", F.collect_set(F.when(F.col("role") == "tool", F.col("call_id"))).over(Window.partitionBy("conv", "turn")))
     calls = F.filter("calls", lambda c: F.array_contains("answered", c))
     rows = rows.withColumn("left", F.when(F.col("role") == "assistant", calls).otherwise(F.col("calls")))

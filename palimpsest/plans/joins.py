@@ -9,7 +9,7 @@ from palimpsest.operators import pairs as P
 from palimpsest.plans.context import messages, steps
 from palimpsest.plans.registry import query, table
 
-RUNS = """WITH b AS (SELECT o_orderkey AS id, o_orderstatus = 'F' AS resolved, (o_orderkey % 5) * 100 AS tokens, o_custkey AS est FROM orders WHERE o_orderkey % 3 <> 0),
+RUNS = """WITH b AS (SELECT o_orderkey AS id, o_orderstatus = 'F' AS resolved, (o_orderkey % 5) * 100 AS tokens, o_custkey AS est FROM orders),
 m AS (SELECT l_orderkey AS id, CASE WHEN count(*) > 3 THEN true WHEN count(*) < 2 THEN NULL ELSE false END AS resolved, sum(l_linenumber)::BIGINT AS tokens, count(*) AS est FROM lineitem GROUP BY 1),
 p AS (SELECT id, coalesce(b.resolved, false) AS base_resolved, coalesce(nullif(b.tokens, 0), b.est) AS base_tokens, coalesce(m.resolved, false) AS memory_resolved, coalesce(nullif(m.tokens, 0), m.est) AS memory_tokens FROM b JOIN m USING (id)),
 o AS (SELECT *, CASE WHEN base_resolved AND memory_resolved THEN 'both_pass' WHEN base_resolved THEN 'memory_hurt' WHEN memory_resolved THEN 'memory_helped' ELSE 'both_fail' END AS outcome FROM p)
@@ -17,7 +17,7 @@ o AS (SELECT *, CASE WHEN base_resolved AND memory_resolved THEN 'both_pass' WHE
 
 
 def paired(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = table(spark, sf_dir, "orders").where("o_orderkey % 3 <> 0").select(F.col("o_orderkey").alias("id"), (F.col("o_orderstatus") == "F").alias("resolved"), (F.col("o_orderkey") % 5 * 100).alias("tokens"), F.col("o_custkey").alias("est_tokens"))
+    base = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_orderstatus") == "F").alias("resolved"), (F.col("o_orderkey") % 5 * 100).alias("tokens"), F.col("o_custkey").alias("est_tokens"))
     n = F.count("*")
     other = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.when(n > 3, True).when(n < 2, None).otherwise(False).alias("resolved"), F.sum("l_linenumber").alias("tokens"), n.alias("est_tokens"))
     return P.paired_labels(base, other, "id")
@@ -126,7 +126,7 @@ def strategy_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT n_name AS strategy, round(avg(c_acctbal) FILTER (c_mktsegment = 'BUILDING'), 6) AS building, round(avg(c_acctbal) FILTER (c_mktsegment = 'FURNITURE'), 6) AS furniture, round(sum(coalesce(CASE WHEN c_acctbal > 0 THEN c_acctbal END, 0)) / count(*), 6) AS mean_missing_zero FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")
 def score_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean scores by strategy and stratum, and a mean where what is missing counts as 0."""
-    c = table(spark, sf_dir, "customer").join(F.broadcast(table(spark, sf_dir, "nation").limit(25)), F.col("c_nationkey") == F.col("n_nationkey"))
+    c = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     mean = lambda s: F.round(F.avg(F.when(F.col("c_mktsegment") == s, F.col("c_acctbal"))), 6)
     return c.groupBy(F.col("n_name").alias("strategy")).agg(mean("BUILDING").alias("building"), mean("FURNITURE").alias("furniture"), F.round(F.sum(F.when(F.col("c_acctbal") > 0, F.col("c_acctbal")).otherwise(0.0)) / F.count("*"), 6).alias("mean_missing_zero"))
 

@@ -75,10 +75,10 @@ def greedy_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def question_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Greedy: of a language's labelled short documents those that overlap little with better ones, five at most."""
-    docs = table(spark, sf_dir, "documents").where("n_chars < 400")
-    rows = docs.select(F.concat_ws("/", "lang", "source").alias("grp"), "doc_id", "n_chars", sets.word_set(F.col("text")).alias("words"))
-    return sets.greedy_dedup(rows, "grp", "doc_id", "n_chars", "words")
+    """Greedy: of a conversation's messages those that overlap little with longer ones, five at most."""
+    c = table(spark, sf_dir, "conversations")
+    rows = c.select("conv_id", "turn", F.length("text").alias("score"), sets.word_set(F.col("text")).alias("words"))
+    return sets.greedy_dedup(rows, "conv_id", "turn", "score", "words")
 
 
 @query("""WITH RECURSIVE e AS (SELECT DISTINCT a.o_custkey AS a, b.o_custkey AS b FROM (SELECT DISTINCT o_custkey, date_trunc('day', o_orderdate) AS d, floor(o_totalprice / 50000) AS p FROM orders) a JOIN (SELECT DISTINCT o_custkey, date_trunc('day', o_orderdate) AS d, floor(o_totalprice / 50000) AS p FROM orders) b USING (d, p)),
@@ -92,10 +92,10 @@ def fact_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def personalised_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rank of parts and suppliers from the parts of one brand, over their orders."""
+    """Rank of parts and suppliers from the parts of size 1, over their orders."""
     li = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("p"), F.col("l_partkey")).alias("a"), F.concat(F.lit("s"), F.col("l_suppkey")).alias("b")).distinct()
     edges = li.unionByName(li.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    seeds = table(spark, sf_dir, "part").where("p_brand = (SELECT min(p_brand) FROM VALUES ('Brand#11') t(p_brand))").select(F.concat(F.lit("p"), F.col("p_partkey")).alias("node"))
+    seeds = table(spark, sf_dir, "part").where("p_size = 1").select(F.concat(F.lit("p"), F.col("p_partkey")).alias("node"))
     return graph.page_rank(edges, seeds, 5).select("node", F.round("rank", 9).alias("rank"))
 
 

@@ -1 +1,69 @@
-"""To be filled."""
+"""Source and sink queries: JSON lines made of table rows and read again."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from palimpsest.plans.registry import query, table
+from palimpsest.sources import readers, sinks
+
+
+@query("WITH s AS (SELECT CASE WHEN role = 'system' THEN 'bad_json' WHEN turn = 0 THEN 'bad_schema' WHEN turn = 2 THEN 'empty_action' ELSE 'ok' END AS status FROM conversations) SELECT status, count(*) AS n FROM s GROUP BY 1")
+def jsonl_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines by status; system messages are cut off, first turns lack the action, third ones have a blank one."""
+    action = F.when(F.col("turn") == 0, None).when(F.col("turn") == 2, " ").otherwise(F.col("role"))
+    line = F.to_json(F.struct("conv_id", "turn", action.alias("action")))
+    lines = table(spark, sf_dir, "conversations").select(F.when(F.col("role") == "system", F.lit('{"conv_id": 1, ')).otherwise(line).alias("value"))
+    return readers.parsed(lines, "conv_id long, turn long, action string", ["conv_id", "action"], "action").groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query("SELECT coalesce(a.o_orderkey, b.l_orderkey) AS id, coalesce(a.o_orderpriority, b.mode) AS mode, a.o_totalprice AS price, b.n FROM (SELECT * FROM orders WHERE o_orderstatus <> 'P') a FULL JOIN (SELECT l_orderkey, max(l_returnflag) AS mode, count(*) AS n FROM lineitem GROUP BY 1) b ON a.o_orderkey = b.l_orderkey")
+def merged_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Full outer merge by key; the first part's fields win."""
+    a = table(spark, sf_dir, "orders").where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("mode"), F.col("o_totalprice").alias("price"))
+    b = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.max("l_returnflag").alias("mode"), F.count("*").alias("n"))
+    return readers.merged([a, b], "id")
+
+
+@query("SELECT * FROM (VALUES ('a', true), ('b', false), ('c', false), ('d', true)) t(id, resolved)")
+def resolved_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [(["a", "d"], ["b"], ["c", "a"]), (None, ["d"], [])]
+    return readers.resolved(spark.createDataFrame(rows, "resolved_ids array<string>, unresolved_ids array<string>, error_ids array<string>"))
+
+
+@query("WITH u AS (SELECT doc_id, quality AS v, 0 AS r FROM labels UNION ALL SELECT doc_id, (n_chars % 2)::INT, 1 FROM documents) SELECT doc_id, min_by(v, r) AS quality, min(r) AS authority FROM u GROUP BY 1")
+def resolved_by_authority(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document's quality by label, else by rule."""
+    rule = table(spark, sf_dir, "documents").select("doc_id", (F.col("n_chars") % 2).cast("int").alias("quality"))
+    return readers.by_authority([table(spark, sf_dir, "labels"), rule], "doc_id", "quality")
+
+
+@query("SELECT item_id, text FROM benchmark")
+def inverted_abstracts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts taken apart into words and places, and put together again."""
+    words = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(F.split("text", " ")).alias("p", "w"))
+    index = words.groupBy("item_id", "w").agg(F.collect_list("p").alias("ps")).groupBy("item_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "ps"))).alias("m"))
+    return index.select("item_id", readers.from_inverted(F.col("m")).alias("text"))
+
+
+@query("SELECT * FROM (VALUES ('1', 'T one', 'A & b', '2020'), ('2', 'T two', '', '2021')) t(ident, title, abstract, year)")
+def xml_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    xml = "<Set><PubmedArticle><PMID>1</PMID><ArticleTitle>T one</ArticleTitle><AbstractText Label='x'>A &amp; b</AbstractText><Year>2020</Year></PubmedArticle><PubmedArticle><PMID>2</PMID><ArticleTitle>T two</ArticleTitle><Year>2021</Year></PubmedArticle></Set>"
+    rows = readers.articles(spark.createDataFrame([(xml,), ("<Set/>",)], "xml string"), "xml")
+    return rows.withColumn("abstract", F.replace("abstract", F.lit("&amp;"), F.lit("&")))
+
+
+@query("SELECT conv_id, count(*) AS n, md5(string_agg(role || chr(9) || text, chr(10) ORDER BY turn)) AS digest FROM conversations GROUP BY 1")
+def concise_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines "role: content" as messages."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat_ws(": ", "role", "text").alias("line"))
+    out = sinks.concise(rows, "conv_id", "turn", "line")
+    joined = F.concat_ws("\n", F.transform("messages", lambda m: F.concat_ws("\t", m["role"], m["content"])))
+    return out.select("conv_id", F.size("messages").cast("long").alias("n"), F.md5(joined).alias("digest"))
+
+
+@query("SELECT coalesce(CASE WHEN l.quality = 1 THEN 'train' WHEN l.quality = 0 THEN 'eval' END, 'unknown') AS split, count(*) AS n FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY 1")
+def routed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = table(spark, sf_dir, "labels").select("doc_id", F.when(F.col("quality") == 1, "train").when(F.col("quality") == 0, "eval").alias("split"))
+    return sinks.route(table(spark, sf_dir, "documents"), manifest, "doc_id").groupBy("split").agg(F.count("*").alias("n"))
