@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,15 +49,12 @@ def pipeline(df: DataFrame, stages: Iterable[Callable[[DataFrame], DataFrame]])
 
 def with_scores(df: DataFrame, score: Callable, column: str, out: str) -> DataFrame:
     """Adds the scores that a Python function gives for batches (a pandas Series) of a column, by a pandas UDF."""
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
-
     ship(df.sparkSession)
 
     def run(texts: pd.Series) -> pd.Series:
         return score(texts)
 
-    return df.withColumn(out, pandas_udf(run, "double")(column))
+    return df.withColumn(out, F.pandas_udf(run, "double")(column))
 
 
 #: Presets of transforms, from easy to hard.
