@@ -7,7 +7,12 @@ differ in at most k elements, the feature domain is split into n1 = ceil((k+1)/2
 parts of three sub-parts each.  By pigeonhole some part holds at most one of the
 differing elements, so two of its three sub-parts agree: the three pairs of
 sub-parts are the signatures of a part, and linked sets share one.  (k = 0: the set
-is its own signature, which is the class.)
+is its own signature, which is the class.)  Signatures of two empty sub-parts are left
+out, for very many sets would share them: with k of ``MANY`` or more there are ``SPARE`` parts
+beyond what the pigeonhole needs, so that linked sets have so many chances more (all are
+empty with a probability below 1e-11 for a pair that differs in k elements, and far below
+for others); with smaller k, a set with such a signature also has its prefix as signatures,
+the least elements by hash of which linked sets must share one.
 
 Classes that share signatures form candidate groups (components of the graph that
 ties each class to the least of its signature).  Only there are sets compared,
@@ -36,8 +41,11 @@ from palimpsest.cluster import cut, map_arrow
 from palimpsest.llm.graph import components
 from palimpsest.llm.words import mix, shingles
 
+#: Parts beyond the pigeonhole's, from so many differing elements on.
+SPARE = 6
+MANY = 24
 #: Elements of the sets that a task compares with each other.
-BLOCK = 1_000_000
+BLOCK = 2_000_000
 
 
 class Bands:
@@ -58,22 +66,28 @@ class Bands:
 
 
 def signatures(h: np.ndarray, bands: Bands) -> np.ndarray:
-    """Signatures of a set, for its own band and the next one."""
+    """Signatures of a set, for its own band and the next one, and of its prefix where that is needed."""
     own, out = bands.of(len(h)), []
     bands.of(bands.low[own + 1])
-    m = mix(h)
+    m, needy = mix(h), False
+    spread, at_random = m >> np.uint64(20), mix(m)
     for band in (own, own + 1):
         k = bands.differ(band)
         if not k:
             continue
-        parts = (k + 2) // 2
-        at = (m >> np.uint64(20)) % np.uint64(3 * parts)
+        parts = (k + 2) // 2 + (SPARE if k >= MANY else 0)
+        at = (spread % np.uint64(3 * parts)).astype(np.int64)
         sums = np.zeros(3 * parts, np.uint64)
-        np.add.at(sums, at.astype(np.int64), mix(m))
+        np.add.at(sums, at, at_random)
+        full = (np.bincount(at, minlength=3 * parts) > 0).reshape(parts, 3)
         sums = mix(sums.reshape(parts, 3) + np.arange(3 * parts, dtype=np.uint64).reshape(parts, 3))
         tag = np.uint64(band) << np.uint64(40)
         for a, b in ((0, 1), (0, 2), (1, 2)):
-            out.append(mix(mix(sums[:, a] + tag) ^ sums[:, b] + np.uint64(a * 3 + b)))
+            some = full[:, a] | full[:, b]
+            needy |= k < MANY and not some.all()
+            out.append(mix(mix(sums[some, a] + tag) ^ sums[some, b] + np.uint64(a * 3 + b)))
+    if needy:
+        out.append(np.sort(at_random)[: len(h) - -(-len(h) * bands.percent // 100) + 1])
     return np.concatenate(out) if out else h[:0]
 
 
