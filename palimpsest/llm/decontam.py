@@ -55,13 +55,13 @@ def item_windows(bench: DataFrame, item: str, text: str, window: int) -> DataFra
 
 def word_counts(docs: DataFrame, text: str, words: set[bytes] | None) -> DataFrame:
     """Rows (word, n) over all documents; of the given words only, if any are given."""
-    given = words and docs.sparkSession.sparkContext.broadcast(words)
+    given = None if words is None else docs.sparkSession.sparkContext.broadcast(words)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         counts: Counter = Counter()
         for t in batch.column(0).to_pylist():
             counts.update(split(t))
-        if given:
+        if given is not None:
             counts = Counter({w: n for w, n in counts.items() if w in given.value})
         return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
 

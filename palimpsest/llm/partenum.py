@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
 from palimpsest.cluster import cut, map_arrow
-from palimpsest.llm.graph import components
+from palimpsest.operators.graph import components
 from palimpsest.llm.words import mix, shingles
 
 #: Parts beyond the pigeonhole's, from so many differing elements on.

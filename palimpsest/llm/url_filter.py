@@ -62,6 +62,6 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "
     listed = rules.select("rule", "verdict", "pattern", F.explode("tokens").alias("token")).join(counts, "token", "left")
     index = listed.groupBy("rule", "verdict", "pattern").agg(F.min_by("token", F.struct(F.coalesce("n", F.lit(0)), "token")).alias("token"))
     fits = asked.join(index, "token").where(F.regexp_like(F.concat("host", "path"), F.col("pattern")))
-    best = fits.groupBy("url").agg(F.max_by(F.struct("rule", "verdict"), F.struct(F.length("rule"), "rule", "verdict")).alias("best"))
+    best = fits.groupBy("url").agg(F.max_by(F.struct("rule", "verdict"), F.struct(F.length("rule"), "rule", "verdict")).alias("__best"))
     judged = pages.join(best.withColumnRenamed("url", "__url"), F.col(url) == F.col("__url"), "left")
-    return judged.select(*pages.columns, host.alias("host"), path.alias("path"), F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+    return judged.select(*pages.columns, host.alias("host"), path.alias("path"), F.col("__best.rule").alias("rule"), F.coalesce("__best.verdict", F.lit(default)).alias("verdict"))

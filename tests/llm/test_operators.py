@@ -1,0 +1,363 @@
+"""The training-data operators on odd rows: nulls, empty and very long texts, ties, repeated rows, empty tables, clashing columns."""
+
+import base64
+import hashlib
+import random
+import re
+import zlib
+
+import pytest
+from pyspark.sql import functions as F
+
+from palimpsest.llm import bpe, chat, decontam, gif, langid, partenum, queries, substring, token_counts, url_filter, warc
+
+LOW = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
+RNG = random.Random(5)
+VOCABULARY = ["".join(RNG.choice("abcdefgh") for _ in range(RNG.randint(1, 7))) for _ in range(400)]
+
+
+def prose(n, rng):
+    return " ".join(rng.choice(VOCABULARY) for _ in range(n))
+
+
+def corpus():
+    """(doc_id, text) with copies, near copies, shared passages and odd texts."""
+    rng = random.Random(11)
+    base, passage = prose(180, rng), prose(70, rng)
+    texts = [prose(rng.randint(1, 200), rng) for _ in range(30)]
+    texts += [base, base, base.upper(), base + " tail", " ".join(base.split()[:-1])]
+    for k in range(12):
+        words = base.split()
+        for _ in range(k % 4 + 1):
+            words[rng.randrange(len(words))] = "changed%d" % rng.randrange(999)
+        texts.append(" ".join(words))
+    texts += [f"{prose(20, rng)} {passage}\n{prose(15, rng)}" for _ in range(6)]
+    texts += ["", None, " \t\n", "one", "One", "two words", "two  words", "x", "é ü", "word " * 400, "a\u00a0b c", prose(4000, rng), "z" * 20_000, "日本語 テキスト"]
+    return list(enumerate(texts))
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = corpus()
+    clash = "doc_id long, text string, lang string, n_words long, size long, ids string, media string, score string, path string, edits string"
+    return spark.createDataFrame([(i, t, "xy"[i % 2], 1, 2, "3", "4", "5", "6", "7") for i, t in rows], clash).repartition(3)
+
+
+def words(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
+
+
+def by_id(df, key="doc_id"):
+    return {r[key]: r for r in df.collect()}
+
+
+@pytest.mark.parametrize("hot", [4000, 2])
+def test_substring(docs, hot):
+    got = by_id(substring.remove_repeats(docs, hot=hot))
+    lists = {i: words(t) for i, t in corpus()}
+    first = {}
+    for i, w in sorted(lists.items()):
+        for k in range(len(w) - 49):
+            first.setdefault(tuple(w[k : k + 50]), i)
+    for i, w in lists.items():
+        gone = {p for k in range(len(w) - 49) if first[tuple(w[k : k + 50])] < i for p in range(k, k + 50)}
+        assert (got[i].n_words, got[i].n_removed, got[i].kept_text) == (len(w), len(gone), " ".join(x for p, x in enumerate(w) if p not in gone))
+    assert len(got) == len(lists)
+
+
+def test_substring_null_keys_and_repeated_rows(spark):
+    t = " ".join(map(str, range(60)))
+    df = spark.createDataFrame([(None, t), (1, t), (1, t), (2, t)], "doc_id long, text string")
+    assert sorted((r.doc_id or 0, r.n_removed) for r in substring.remove_repeats(df).collect()) == [(0, 0), (1, 0), (1, 0), (2, 60)]
+
+
+@pytest.mark.parametrize(("n", "percent", "block"), [(3, 90, partenum.BLOCK), (5, 80, partenum.BLOCK), (3, 90, 400), (2, 50, 2000)])
+def test_jaccard(docs, n, percent, block):
+    got = by_id(partenum.jaccard_components(docs, n=n, percent=percent, block=block))
+    sets = {}
+    for i, t in corpus():
+        w = words((t or "").translate(LOW))
+        sets[i] = {tuple(w[k : k + n]) for k in range(max(1, len(w) - n + 1))} if w else set()
+    root, links = {i: i for i in sets}, dict.fromkeys(sets, 0)
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in sets:
+        for j in range(i):
+            if sets[i] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
+                links[i] += 1
+                links[j] += 1
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    assert {i: (r.n_shingles, r.component_id, r.n_links) for i, r in got.items()} == {i: (len(s), find(i), links[i]) for i, s in sets.items()}
+
+
+@pytest.mark.parametrize("bound", [decontam.BOUND, 50])
+def test_decontamination(spark, docs, bound):
+    rows = dict(corpus())
+    items = [(0, " ".join(rows[30].split()[20:45])), (1, "one"), (2, None), (3, ""), (4, "Two, WORDS!"), (5, rows[3]), (5, rows[3]), (None, "x"), (6, "日本語 テキスト"), (7, "word " * 12)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = by_id(decontam.contamination(docs, bench, bound=bound))
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOW))
+    windows = {}
+    for i, t in items:
+        w = split(t)
+        for k in range(max(1, len(w) - 9) if w and i is not None else 0):
+            windows.setdefault(tuple(w[k : k + 10]), set()).add(i)
+    for i, t in rows.items():
+        w, hit, found = split(t), set(), set()
+        for n in {len(x) for x in windows}:
+            for k in range(len(w) - n + 1):
+                if owners := windows.get(tuple(w[k : k + n])):
+                    found |= owners
+                    hit |= set(range(k, k + n))
+        assert (got[i].n_words, got[i].n_hit, sorted(got[i]["items"])) == (len(w), len(hit), sorted(found)), t
+    assert all(r.n_hit == 0 for r in decontam.contamination(docs, bench.where("false"), bound=bound).collect())
+
+
+def tiktoken_encode(text):
+    import tiktoken
+
+    path, pattern = queries.tokenizer()
+    with open(path, "rb") as f:
+        ranks = bpe.parse_ranks(f.read())
+    return tiktoken.Encoding("test", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary(text)
+
+
+ODD = ["a  b", " lead", "trail ", "\n\nx\n y", "it's we'll 'S", "x\u2003y\u00a0z", "\x1c a\x1cb", "1234567 89", "ab" * 300, "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa", "€" * 100, "😀 ok\r\n\tfine", "<|endoftext|>", "a\nb", "x\n"]
+
+
+def test_bpe_as_the_library(spark, docs):
+    import numpy as np
+
+    rows = corpus() + list(enumerate(ODD, 1000))
+    df = docs.select("doc_id", "text", "ids").unionByName(spark.createDataFrame(list(enumerate(ODD, 1000)), "doc_id long, text string").withColumn("ids", F.lit("")))
+    got = by_id(bpe.digests(df, *queries.tokenizer()))
+    back = by_id(bpe.decode(bpe.encode(df, *queries.tokenizer()), *queries.tokenizer()))
+    for i, t in rows:
+        want = tiktoken_encode(t or "")
+        assert back[i].ids == want and bytes(back[i].decoded) == (t or "").encode(), t
+        assert got[i].n_tokens == len(want)
+        assert got[i].ids_sha256 == hashlib.sha256(np.array(want, "<u4").tobytes()).hexdigest()
+        assert got[i].decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest()
+    assert bpe.digests(docs.where("false"), *queries.tokenizer()).count() == 0
+
+
+def test_bpe_rejects_unknown_ids(spark):
+    with pytest.raises(Exception, match="not in the vocabulary"):
+        bpe.decode(spark.createDataFrame([([999_999],)], "ids array<int>"), *queries.tokenizer()).collect()
+
+
+def test_token_tree_against_full_counts():
+    path, pattern = queries.tokenizer()
+    with open(path, "rb") as f:
+        count = token_counts.counter(f.read(), pattern)
+    rng = random.Random(2)
+    for start in ["", "x", prose(300, rng), "no-spaces" * 200, " \n ".join(ODD), prose(2000, rng).replace("a ", "a\n")]:
+        tree, text = token_counts.TokenTree(start, count, leaf=32), start
+        for _ in range(60):
+            at, drop = rng.randint(0, len(text) + 3), rng.choice([0, 0, 1, 5, 60, 400])
+            insert = rng.choice(["", " ", "\n", "x", " word", "'ll", "12", prose(30, rng), " a b ", "\n\n"])
+            tree.edit(at, drop, insert)
+            text = text[:at] + insert + text[at + drop :]
+            assert tree.text == text
+            assert tree.tokens == count(text)
+            assert tree.length == len(text)
+    tree = token_counts.TokenTree(prose(50_000, rng), count)
+    tree.encoded = 0
+    tree.edit(100_000, 10, "changed here")
+    assert tree.encoded < 2_000
+
+
+def test_token_counts_with_an_edit_table(spark, docs):
+    edits = spark.createDataFrame([(0, 2, 0, 1, "b"), (0, 1, 0, 0, "a "), (999, 1, 0, 0, "z"), (1, 1, 5, 10**9, None)], "doc_id long, seq long, at long, drop long, insert string")
+    got = by_id(token_counts.edited_counts(token_counts.with_edits(docs.drop("edits"), edits), *queries.tokenizer()))
+    rows = dict(corpus())
+    want = {i: t or "" for i, t in rows.items()}
+    want[0] = "b" + ("a " + want[0])[1:]
+    want[1] = want[1][:5]
+    for i, t in want.items():
+        assert (got[i].n_tokens, got[i].n_tokens_after) == (len(tiktoken_encode(rows[i] or "")), len(tiktoken_encode(t)))
+
+
+def test_gif_round_trip(docs):
+    got = by_id(gif.document_media(docs))
+    for i, t in corpus():
+        b = (t or "").encode()
+        p = b + bytes(-len(b) % 64 or (0 if b else 64))
+        assert (got[i].n_bytes, got[i].payload_bytes, got[i].payload_sha256, got[i].tail_crc32) == (len(b), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:])), t
+    assert got[30].media_sha256 == got[31].media_sha256 and got[30].feature == got[31].feature
+
+
+def compressed(samples, least):
+    """A plain LZW encoder, with codes that widen."""
+    clear, stop = 1 << least, (1 << least) + 1
+    bits, have, out = 0, 0, bytearray()
+    table, width, now = {bytes([i]): i for i in range(clear)}, least + 1, b""
+
+    def put(code):
+        nonlocal bits, have
+        bits |= code << have
+        have += width
+        while have >= 8:
+            out.append(bits & 255)
+            bits >>= 8
+            have -= 8
+
+    put(clear)
+    for s in samples:
+        if now + bytes([s]) in table:
+            now += bytes([s])
+            continue
+        put(table[now])
+        if len(table) + 2 < 4096:
+            table[now + bytes([s])] = len(table) + 2
+            if len(table) + 2 > 1 << width:
+                width += 1
+        else:
+            put(clear)
+            table, width = {bytes([i]): i for i in range(clear)}, least + 1
+        now = bytes([s])
+    put(table[now])
+    put(stop)
+    if have:
+        out.append(bits & 255)
+    return bytes(out)
+
+
+@pytest.mark.parametrize("least", [2, 4, 8])
+def test_lzw_of_widening_codes(least):
+    import numpy as np
+
+    rng = random.Random(least)
+    samples = bytes(rng.choice([0, 1, 1, (1 << least) - 1]) if k % 50 else rng.randrange(1 << least) for k in range(30_000))
+    assert gif.lzw(compressed(samples, least), least, len(samples)).tobytes() == samples
+    assert gif.lzw(gif.literal_stream(np.frombuffer(samples, np.uint8)), 8, len(samples)).tobytes() == samples
+
+
+def test_gif_disposal_and_transparency():
+    import numpy as np
+
+    palette = np.zeros((256, 3), np.uint8)
+    palette[1:4] = [[255, 0, 0], [0, 255, 0], [0, 0, 255]]
+    full = np.full((2, 2), 1, np.uint8)
+    dot = np.array([[2]], np.uint8)
+    seen_through = np.array([[0, 3], [3, 0]], np.uint8)
+    frames = [gif.Frame(0, 0, 5, 1, None, full, palette), gif.Frame(1, 1, 7, 3, None, dot, palette), gif.Frame(0, 0, 9, 2, 0, seen_through, palette), gif.Frame(0, 0, 1, 0, None, dot, palette)]
+    width, height, stored = gif.parse(gif.encode(frames, 2, 2))
+    assert [(f.delay, f.disposal, f.transparent) for f in stored] == [(5, 1, None), (7, 3, None), (9, 2, 0), (1, 0, None)]
+    red, green, blue, black = (255, 0, 0), (0, 255, 0), (0, 0, 255), (0, 0, 0)
+    seen = [[tuple(p) for p in c.reshape(-1, 3).tolist()] for c in gif.shown(width, height, stored)]
+    assert seen == [[red] * 4, [red, red, red, green], [red, blue, blue, red], [green, black, black, black]]
+
+
+def test_gif_of_bad_media(spark):
+    good = gif.of_samples(bytes(64))
+    got = gif.read(spark.createDataFrame([(0, b"no"), (1, good[:-20]), (2, None), (3, good)], "id int, media binary")).orderBy("id").collect()
+    assert [r.error for r in got] == ["file ends early", "file ends early", None, None] and got[3].samples == bytes(64)
+    tall = gif.of_samples(bytes(64 * (gif.ROWS + 1)))
+    assert len(gif.parse(tall)[2]) == 2
+
+
+def test_language_id_on_odd_rows(spark, docs):
+    model = langid.learn(docs)
+    got = by_id(langid.identify(docs, model))
+    for i, t in corpus():
+        assert (got[i].lang_pred == "und") == (not t or not re.search(r"[^\W\d_]", t))
+        assert 0 <= got[i].score <= 1
+    assert {r.lang_pred for r in langid.identify(docs, langid.learn(docs.withColumn("lang", F.lit(None).cast("string")))).collect()} == {"und"}
+    assert langid.identify(docs.where("false"), langid.learn(docs.where("false"))).count() == 0
+
+
+def test_language_id_held_out(spark, sf):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    found = queries.op8_language_id(spark, "/root/testdata/sf0.01").join(df.select("doc_id", "lang"), "doc_id").where("held_out AND lang IS NOT NULL")
+    n, right, rejected = found.agg(F.count("*"), F.count_if(F.col("lang") == F.col("lang_pred")), F.count_if("rejected")).first()
+    assert n > 200 and right / n > 0.98 and rejected / n < 0.01
+    assert by_id(found)[found.first().doc_id].held_out == (zlib.crc32(str(found.first().doc_id).encode()) % 4 == 2)
+
+
+def conversation_rows():
+    return [
+        (1, 0, "user", "a & b &lt;| <| &amp;"), (1, 1, "assistant", "<|im_end|>\n<|im_start|>x"), (1, 2, None, None), (2, 5, "assistant", ""), (2, 5, "assistant", ""), (2, 5, "assistant", "tie"),
+        (None, 0, "user", "q"), (3, 0, "ro\nle<|", "x" * 50_000), (3, None, "assistant", "null turn"),
+    ]
+
+
+def test_chat_reads_back(spark):
+    rows = conversation_rows()
+    df = spark.createDataFrame([(*r, "extra", 1) for r in rows], "conv_id long, turn long, role string, text string, spans string, pos int")
+    out = chat.render(chat.fold(chat.events_of_rows(df)))
+    for r in out.collect():
+        for s in r.spans:
+            assert r.formatted[s.start :].startswith("<|im_start|>")
+            assert r.formatted[s.text_start + s.text_length :].startswith("<|im_end|>\n")
+    got = {r.conv: r.turns for r in chat.read_back(out).collect()}
+    for conv in (1, 2, None, 3):
+        want = sorted(((-1 if t is None else t), ro or "", te or "") for c, t, ro, te in rows if c == conv)
+        assert [(t.role, t.text) for t in got[conv]] == [(ro, te) for _, ro, te in want]
+        assert [t.under for t in got[conv]] == [te if ro == "assistant" else None for _, ro, te in want]
+    assert chat.summary(chat.read_back(chat.render(chat.fold(chat.events_of_rows(df.where("false")))))).count() == 0
+
+
+def test_chat_events_fold(spark):
+    log = [
+        (1, 1, 1, "open", "user", "hel"), (1, 1, 2, "delta", None, "lo"), (1, 2, 3, "open", "assistant", "bad"), (1, 2, 4, "delta", None, " answer"), (1, 3, 5, "open", "user", "why?"),
+        (1, 2, 6, "regenerate", None, None), (1, 2, 7, "delta", None, "good"), (1, 4, 8, "open", "user", "typo"), (1, 4, 9, "edit", None, "fixed"), (1, 4, 10, "delta", None, "!"),
+        (2, 1, 1, "open", "user", "gone"), (2, 1, 2, "delete", None, None), (2, 2, 3, "open", "assistant", None),
+    ]
+    events = spark.createDataFrame(log, "conv long, msg long, seq long, kind string, role string, text string")
+    got = sorted((r.conv, r.pos, r.role, r.text) for r in chat.fold(events).collect())
+    assert got == [(1, 1, "user", "hello"), (1, 2, "assistant", "good"), (1, 3, "user", "fixed!"), (2, 1, "assistant", "")]
+
+
+def test_urls(spark):
+    urls = [None, "", "nothing", "http://", "HTTP://A.Example.NET/en/x?q#f", "http://net", "http://net/", "http://xnet/a", "http://example.com/de", "http://example.com/de/1", "http://WWW.example.com/DE/1", "a://b.org/fr/", "a://b.org?x/fr/", "x://example.net/en/", "x://example.net/enx", "://net/é", "http://example.net:80/en/", "http://net/\nx", "x://example.net/en/"]
+    df = spark.createDataFrame([(i, u, "p", "h", 9) for i, u in enumerate(urls)], "page_id long, url string, path string, rule string, best int")
+    rules = spark.createDataFrame(queries.URL_RULES, "host string, path string, verdict string")
+    got = by_id(url_filter.judge(df, rules), "page_id")
+    assert len(got) == len(urls)
+    for i, u in enumerate(urls):
+        host = path = ""
+        if u and "://" in u:
+            rest = u.split("://", 1)[1]
+            host = re.match(r"[^/?#]*", rest)[0]
+            path = re.match(r"[^?#]*", rest[len(host) :])[0]
+            host = host.translate(LOW)
+        fits = [(len(h + p), h + p, v) for h, p, v in queries.URL_RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        _, rule, verdict = max(fits) if fits else (0, None, "allow")
+        assert (got[i].host, got[i].path, got[i].rule, got[i].verdict, got[i].best) == (host, path, rule, verdict, 9), u
+    assert url_filter.judge(df, rules.where("false")).where("verdict <> 'allow'").count() == 0
+    assert url_filter.judge(df.where("false"), rules).count() == 0
+
+
+def test_archive(spark, tmp_path):
+    rows = [(1, "http://a/", "same"), (5, "http://b/\r\nX: y", "same"), (3, None, "same"), (2, "u", None), (4, "u", ""), (6, "u", "é" * 50_000), (6, "u", "é" * 50_000)]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, id string")
+    folder = str(tmp_path / "a")
+    warc.write_archive(df, folder, "page_id", "url", "html")
+    got = sorted((tuple(r) for r in warc.read_summary(spark, folder, "page_id").collect()), key=lambda r: r[0])
+    want = []
+    for i, _, t in sorted(rows, key=lambda r: r[0]):
+        b, top = (t or "").encode(), max(j for j, _, s in rows if (s or "") == (t or ""))
+        want.append((i, len(b), base64.b32encode(hashlib.sha1(b).digest()).decode(), "response" if i == top else "revisit", None if i == top else top))
+    assert got == want
+    records = {(r.record_id, r.record_type): bytes(r.record) for r in warc.read_records(spark, folder).collect()}
+    assert records["5", "response"] == b"\r\n".join([b"WARC/1.1", b"WARC-Type: response", b"WARC-Record-ID: <urn:record:5>", b"WARC-Target-URI: http://b/X: y", b"WARC-Payload-Digest: sha1:" + want[4][2].encode(), b"Content-Length: 4", b"", b"same", b"", b""])
+    assert b"WARC-Refers-To: <urn:record:5>" in records["1", "revisit"] and records["1", "revisit"].endswith(b"Content-Length: 0\r\n\r\n\r\n\r\n")
+    assert spark.read.parquet(f"{folder}/payloads").select("key").distinct().count() == 3
+    warc.write_archive(df, str(tmp_path / "b"), "page_id", "url", "html", least=5)
+    assert {r.record_type for r in warc.read_summary(spark, str(tmp_path / "b"), "page_id").where("payload_bytes < 5").collect()} == {"response"}
+    warc.write_archive(df.where("false"), str(tmp_path / "c"), "page_id", "url", "html")
+    assert warc.read_summary(spark, str(tmp_path / "c"), "page_id").count() == 0
+
+
+def test_archive_notices_damage(spark, tmp_path):
+    folder = str(tmp_path / "a")
+    warc.write_archive(spark.createDataFrame([(1, "u", "text")], "page_id long, url string, html string"), folder, "page_id", "url", "html")
+    spark.createDataFrame([(hashlib.sha256(b"text").hexdigest(), b"other")], "key string, body binary").write.mode("overwrite").parquet(f"{folder}/payloads")
+    with pytest.raises(Exception, match="payload is damaged"):
+        warc.read_summary(spark, folder, "page_id").collect()
