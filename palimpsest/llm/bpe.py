@@ -10,8 +10,8 @@ token bytes in position order.
 Texts are cut into chunks before each lone white-space character between two
 others.  No pre-token of the pattern crosses such a place and no look-ahead
 sees over it, so a chunk always encodes the same way; a batch therefore
-encodes each distinct chunk once, and a worker keeps the ids of the words it
-has met (emptied beyond ``KEPT_WORDS`` words, which costs time, never results).
+encodes each distinct chunk once, and a task keeps the ids of the words it has
+met (emptied beyond ``KEPT_WORDS`` words, which costs time, never results).
 
 Defined results: null text is the empty text, it has no tokens; repeated rows
 are encoded each; further columns are kept by ``encode`` and ``decode``.
@@ -32,9 +32,9 @@ from pyspark.sql import types as T
 
 from palimpsest.cluster import broadcast_once, map_arrow
 
-#: Words whose ids a worker keeps; bytes given to one recursive query; longest word of the leftmost-only query (keys hold positions in 6 bits).
-KEPT_WORDS = 600_000
-BATCH_BYTES = 800_000
+#: Words whose ids a task keeps; bytes given to one recursive query; longest word of the leftmost-only query (keys hold positions in 6 bits).
+KEPT_WORDS = 400_000
+BATCH_BYTES = 400_000
 LONG_WORD = 63
 
 # Chunk borders; Python's white space contains the pattern's.
@@ -193,6 +193,12 @@ class Codec:
             for cs, u in zip(cut, usual, strict=True)
         ]
 
+    def forget(self) -> None:
+        """Frees the words and the tables that a task has left."""
+        self.known = {}
+        for name in ("init", "toks"):
+            self.db.execute(f"DROP TABLE IF EXISTS {name}")
+
     def decode(self, ids: list[bytes]) -> list[bytes]:
         """The bytes of each text's ids."""
         out = []
@@ -280,18 +286,23 @@ def digests(df: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", t
     """Encodes and decodes each text; returns the key, the number of tokens and the SHA-256 of the ids and of the decoded bytes."""
     ranks = broadcast_once(df.sparkSession, _file(ranks_path))
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def start():
         c = codec(ranks.value, pattern)
-        ids = c.encode([t or "" for t in batch.column(1).to_pylist()])
-        return pa.RecordBatch.from_arrays(
-            [
-                batch.column(0),
-                pa.array([len(i) // 4 for i in ids], pa.int64()),
-                pa.array([hashlib.sha256(i).hexdigest() for i in ids]),
-                pa.array([hashlib.sha256(d).hexdigest() for d in c.decode(ids)]),
-            ],
-            names=[key, "n_tokens", "ids_sha256", "decoded_sha256"],
-        )
+
+        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+            ids = c.encode([t or "" for t in batch.column(1).to_pylist()])
+            return pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0),
+                    pa.array([len(i) // 4 for i in ids], pa.int64()),
+                    pa.array([hashlib.sha256(i).hexdigest() for i in ids]),
+                    pa.array([hashlib.sha256(d).hexdigest() for d in c.decode(ids)]),
+                ],
+                names=[key, "n_tokens", "ids_sha256", "decoded_sha256"],
+            )
+
+        run.close = c.forget
+        return run
 
     schema = T.StructType([df.schema[key], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
-    return map_arrow(df.select(key, text), run, schema, rows=4096)
+    return map_arrow(df.select(key, text), start, schema, rows=4096, size=6 << 20, task=True)

@@ -163,4 +163,4 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         lang, score, rejected = shared.value.predict(batch.column(at).to_pylist())
         return pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], names=[*names, "lang_pred", "score", "rejected"])
 
-    return map_arrow(docs, run, T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())]), rows=2048, size=2 << 20)
+    return map_arrow(docs, run, T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())]), rows=1024, size=1 << 19)
