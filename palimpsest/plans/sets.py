@@ -90,7 +90,12 @@ def fact_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.shared_key_components(o.select(F.col("o_custkey").alias("cust"), key.alias("key")), "cust", "key")
 
 
-@query()
+def _rounds(n: int) -> str:
+    step = ", r{b} AS (SELECT node, sum(x) AS rank FROM (SELECT b AS node, 0.85::DOUBLE * sum(rank / degree) AS x FROM r{a} JOIN e ON a = node JOIN o USING (a) GROUP BY b UNION ALL SELECT node, (1 - 0.85::DOUBLE) * part FROM s) GROUP BY node)"
+    return "".join(step.format(a=k, b=k + 1) for k in range(n)) + f" SELECT node, round(rank, 9) AS rank FROM r{n}"
+
+
+@query("WITH li AS (SELECT DISTINCT 'p' || l_partkey AS a, 's' || l_suppkey AS b FROM lineitem), e AS (SELECT * FROM li UNION ALL SELECT b, a FROM li), o AS (SELECT a, count(*) AS degree FROM e GROUP BY a), s AS (SELECT 'p' || p_partkey AS node, 1::DOUBLE / count(*) OVER () AS part FROM part WHERE p_size = 1), r0 AS (SELECT node, part AS rank FROM s)" + _rounds(5))
 def personalised_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rank of parts and suppliers from the parts of size 1, over their orders."""
     li = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("p"), F.col("l_partkey")).alias("a"), F.concat(F.lit("s"), F.col("l_suppkey")).alias("b")).distinct()
