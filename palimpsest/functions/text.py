@@ -192,3 +192,62 @@ def elements(c: Column) -> Column:
     """Array of (id, role, name) of an accessibility tree's lines."""
     pattern = F.lit(r"\[(\d+)\] (\w+) '([^']*)'")
     return F.arrays_zip(*[F.regexp_extract_all(c, pattern, i).alias(n) for i, n in ((1, "id"), (2, "role"), (3, "name"))])
+
+
+#: Where a run's name stops to be its strategy's, in order.
+CUTS = ("_HP_", "_T2_", "_T3_", "_phase", "_v")
+
+
+def strategy_of_run(c: Column) -> Column:
+    """What follows _both_, up to the first of the cuts that is there."""
+    tail = F.when(F.contains(c, F.lit("_both_")), F.regexp_extract(c, "(?s)_both_(.*)$", 1))
+    cases = None
+    for cut in CUTS:
+        at = F.instr(tail, F.lit(cut))
+        cases = (F if cases is None else cases).when(at > 1, F.substr(tail, F.lit(1), at - 1))
+    return F.coalesce(F.nullif(cases.otherwise(tail), F.lit("")), c)
+
+
+def target_tokens(c: Column, presets: dict[str, int]) -> Column:
+    """A preset's number or a number; null for anything else."""
+    named = F.create_map(*[F.lit(x) for kv in presets.items() for x in kv]) if presets else F.lit(None)
+    return F.coalesce(F.try_element_at(named, F.lower(F.trim(c))), F.trim(c).try_cast("int"))
+
+
+def capped_files(files: Column, most: int = 8000) -> Column:
+    """Array of (name, content): contents cut, with a note of how many characters went."""
+    note = lambda n: F.concat(F.lit("\n... ["), n.cast("string"), F.lit(" characters dropped]"))
+    return F.transform(files, lambda f: F.struct(f["name"].alias("name"), F.when(F.length(f["content"]) > most, F.concat(F.substring(f["content"], 1, most), note(F.length(f["content"]) - most))).otherwise(f["content"]).alias("content")))
+
+
+def note_recall(notes: Column, facts: Column) -> Column:
+    """Facts (content, intermediate) that notes hold, over their number: one for .4 of a fact's words of more than four characters, one for its
+    intermediate answer; only the second kind is capped at the number of facts, so a later fact can lift the ratio above 1."""
+    low = F.lower(notes)
+    n = F.size(facts)
+    bare = lambda w: F.regexp_replace(w, "^[.,!?\"'()]+|[.,!?\"'()]+$", "")
+
+    def step(a: Column, f: Column) -> Column:
+        every = F.filter(F.split(F.lower(f["content"]), r"\s+"), lambda w: w != "")
+        long = F.filter(F.transform(every, bare), lambda w: F.length(w) > 4)
+        words = F.when(F.size(long) > 0, long).otherwise(every)
+        found = F.size(F.filter(words, lambda w: F.contains(low, w)))
+        first = a + F.when((F.size(words) > 0) & (found >= 0.4 * F.size(words)), 1).otherwise(0)
+        said = F.coalesce(f["intermediate"], F.lit(""))
+        return F.when((said != "") & F.contains(low, F.lower(said)), F.least(first + 1, n)).otherwise(first)
+
+    return F.when(n == 0, F.lit(0.0)).otherwise(F.aggregate(facts, F.lit(0), step) / n)
+
+
+def action_text(content: Column, calls: Column) -> Column:
+    """An action as its content and its calls (name, arguments map) with sorted keys."""
+    ordered = F.transform(calls, lambda c: F.concat(c["name"], F.lit("("), F.concat_ws(", ", F.transform(F.array_sort(F.map_entries(c["arguments"])), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), F.lit(")")))
+    return F.concat_ws("\n", F.nullif(F.trim(content), F.lit("")), F.concat_ws("\n", ordered))
+
+
+def observations_equal(recorded: Column, live: Column) -> Column:
+    """Equality by axis (url, title, tree) of two observations, and of all."""
+    url = url_path(recorded["url"]).eqNullSafe(url_path(live["url"]))
+    title = normal(recorded["title"]).eqNullSafe(normal(live["title"]))
+    tree = normal(recorded["tree"]).eqNullSafe(normal(live["tree"]))
+    return F.struct(url.alias("url"), title.alias("title"), tree.alias("tree"), (url & title & tree).alias("all"))

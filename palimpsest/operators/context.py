@@ -174,3 +174,25 @@ def growth(df: DataFrame) -> DataFrame:
         F.max_by("t", "pos").alias("current"), F.max("t").alias("largest"), F.avg("t").alias("mean"),
         F.coalesce((F.max_by("t", "pos") - F.min_by("t", "pos")) / F.nullif(span, F.lit(0)), F.lit(0.0)).alias("rate"),
     )
+
+
+def whole_calls(df: DataFrame) -> DataFrame:
+    """Rows with part (0 pinned, 1 middle, 2 tail), calls and call_id: answers in the middle follow their call to the head or the tail,
+    and a call in the middle with an answer in the tail goes there with all its answers."""
+    none = F.array().cast("array<string>")
+    gathered = lambda c: F.array_distinct(F.flatten(F.collect_list(c).over(whole())))
+    calls = F.coalesce("calls", none)
+    rows = df.withColumns(
+        {
+            "__pinned": gathered(F.when(F.col("part") == 0, calls)), "__tail": gathered(F.when(F.col("part") == 2, calls)),
+            "__answers": F.collect_set(F.when(F.col("part") == 2, F.col("call_id"))).over(whole()),
+        }
+    )
+    middle = F.col("part") == 1
+    answers = lambda c: F.coalesce(F.array_contains(c, F.col("call_id")), F.lit(False))
+    to_head = middle & answers(F.col("__pinned"))
+    to_tail = middle & ~to_head & (answers(F.col("__tail")) | F.arrays_overlap(calls, "__answers"))
+    rows = rows.withColumn("__part", F.when(to_head, 0).when(to_tail, 2).otherwise(F.col("part")))
+    rows = rows.withColumn("__moved", gathered(F.when(middle & (F.col("__part") == 2), calls)))
+    part = F.when((F.col("__part") == 1) & answers(F.col("__moved")), 2).otherwise(F.col("__part"))
+    return rows.withColumn("part", part).drop("__pinned", "__tail", "__answers", "__part", "__moved")

@@ -87,3 +87,19 @@ def funnel(df: DataFrame, steps: dict[str, Column]) -> DataFrame:
     rows = [F.struct(F.lit(0).alias("step"), F.lit("loaded").alias("name"), F.col("loaded").alias("n"), F.col("loaded").alias("before"))]
     rows += [F.struct(F.lit(i + 1).alias("step"), F.lit(name).alias("name"), F.col(f"s{i}").alias("n"), F.col(f"s{i - 1}" if i else "loaded").alias("before")) for i, name, _ in passed]
     return one.select(F.explode(F.array(*rows)).alias("r")).select("r.step", "r.name", "r.n", F.coalesce(F.try_divide("r.n", "r.before"), F.lit(0.0)).alias("rate"))
+
+
+def difficulty_in_context(given: Column, tokens: Column, above: int = 100_000) -> Column:
+    """medium becomes hard in a long context."""
+    return F.when((given == "medium") & (tokens > above), "hard").otherwise(given)
+
+
+def siblings(results: Column, supporting: Column) -> Column:
+    """The results whose place isn't among the supporting ones."""
+    return F.filter(results, lambda r, i: ~F.array_contains(supporting, i))
+
+
+def latest_checkpoint(df: DataFrame, name: str) -> DataFrame:
+    """The name with the highest number at its end."""
+    number = F.regexp_extract(name, r"(\d+)$", 1).try_cast("long")
+    return df.where(number.isNotNull()).agg(F.max_by(name, number).alias(name))

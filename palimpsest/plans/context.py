@@ -124,3 +124,11 @@ def tool_call_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A fixture, as the tables have no tool messages; its result is stated."""
     rows = [(1, 0, "system", "s", None, None), (1, 1, "tool", "orphan", None, "a"), (1, 2, "assistant", "", ["a", "b"], None), (1, 3, "tool", "ra", None, "a"), (1, 4, "tool", "rz", None, "z"), (1, 5, "assistant", "", ["c"], None), (1, 6, "user", "u", None, None)]
     return C.repair_tool_calls(spark.createDataFrame(rows, "conv long, pos long, role string, content string, calls array<string>, call_id string"))
+
+
+@query("SELECT * FROM (VALUES (1::BIGINT, 0::BIGINT, 0), (1, 1, 0), (1, 2, 2), (1, 3, 2), (1, 4, 2), (1, 5, 2), (1, 6, 1), (1, 7, 2)) t(conv, pos, part)")
+def whole_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stated messages in head, middle and tail: answers stay with their calls."""
+    rows = [(1, 0, 0, ["a"], None), (1, 1, 1, None, "a"), (1, 2, 1, ["b", "c"], None), (1, 3, 1, None, "c"), (1, 4, 2, None, "b"), (1, 5, 2, ["d"], None), (1, 6, 1, ["e"], None), (1, 7, 1, None, "d")]
+    df = spark.createDataFrame(rows, "conv long, pos long, part int, calls array<string>, call_id string")
+    return C.whole_calls(df).select("conv", "pos", "part")

@@ -117,3 +117,32 @@ def element_translation(spark: SparkSession, sf_dir: str) -> DataFrame:
 def observation_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = spark.createDataFrame([(1, "<returncode>0</returncode>ran in 1.5 seconds at 0xFF\n pid=42"), (2, " x\n\ny ")], "id int, t string")
     return df.select("id", X.plain_observation(F.col("t")).alias("seen"))
+
+
+@query("SELECT * FROM (VALUES (1, 'naive', 32000, 'hard'), (2, 'plain', 500, 'easy'), (3, 'x_both_', NULL, 'medium'), (4, 'a', 7, 'medium')) t(id, strategy, tokens, difficulty)")
+def run_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strategies of run names, presets of token targets, difficulty in a long context."""
+    from palimpsest.operators.quality import difficulty_in_context
+
+    rows = [(1, "t_both_naive_phase1_v2", " 32K ", "medium", 200_000), (2, "plain", "500", "easy", 200_000), (3, "x_both_", "many", "medium", 100_000), (4, "r_both_a_T2_b_v1", "7", "medium", None)]
+    df = spark.createDataFrame(rows, "id int, run string, target string, given string, n long")
+    return df.select("id", X.strategy_of_run(F.col("run")).alias("strategy"), X.target_tokens(F.col("target"), {"32k": 32_000}).alias("tokens"), difficulty_in_context(F.col("given"), F.coalesce("n", F.lit(0))).alias("difficulty"))
+
+
+@query("SELECT * FROM (VALUES (1, 1.5::DOUBLE), (2, 0.5), (3, 0.0)) t(id, recall)")
+def note_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts in notes; the last one lifts the first row above 1."""
+    rows = [
+        (1, "Paris hosts museum rivers tower", [("the museum, Paris!", "tower"), ("rivers", None)]), (2, "alpha beta", [("alpha", None), ("gamma delta", "")]), (3, "x", []),
+    ]
+    df = spark.createDataFrame(rows, "id int, notes string, facts array<struct<content: string, intermediate: string>>")
+    return df.select("id", X.note_recall(F.col("notes"), F.col("facts")).alias("recall"))
+
+
+@query("SELECT * FROM (VALUES (1, 'go' || chr(10) || 'f(a=1, b=2)', true, false, 'ab' || chr(10) || '... [2 characters dropped]')) t(id, action, url, same, file)")
+def recorded_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Actions with sorted arguments, observations by axis, capped files."""
+    row = [(1, " go ", [("f", {"b": "2", "a": "1"})], ("http://h/p?q", "T", "x  y"), ("https://g/p/", "t", "x z"), [("n", "abcd")])]
+    kind = "id int, c string, calls array<struct<name: string, arguments: map<string, string>>>, a struct<url: string, title: string, tree: string>, b struct<url: string, title: string, tree: string>, f array<struct<name: string, content: string>>"
+    df = spark.createDataFrame(row, kind).withColumn("e", X.observations_equal(F.col("a"), F.col("b")))
+    return df.select("id", X.action_text(F.col("c"), F.col("calls")).alias("action"), "e.url", F.col("e.all").alias("same"), F.get(X.capped_files(F.col("f"), 2), F.lit(0))["content"].alias("file"))
