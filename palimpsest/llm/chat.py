@@ -47,7 +47,6 @@ def events_of_rows(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", r
 
 def fold(events: DataFrame) -> DataFrame:
     """Final messages (conv, pos, role, text), pos from 1 without gaps, of rows (conv, msg, seq, kind, role, text)."""
-    in_conv = Window.partitionBy("conv")
     message = Window.partitionBy("conv", "msg")
     reset = F.col("kind").isin("edit", "regenerate", "delete")
     rows = (
@@ -55,10 +54,10 @@ def fold(events: DataFrame) -> DataFrame:
         .withColumn("first", F.min("seq").over(message))
         .withColumn("reset", F.max(F.when(reset, F.col("seq"))).over(message))
     )
-    # for each regeneration: its time and the place of its message
-    taken = F.array_compact(F.collect_list(F.when(F.col("kind") == "regenerate", F.struct("seq", "first"))).over(in_conv))
-    rows = rows.withColumn("taken", taken)
-    back = F.exists("taken", lambda t: (t["first"] < F.col("first")) & (t["seq"] > F.col("first")))
+    # taken back: a message that began earlier was regenerated after this one's beginning
+    earlier = Window.partitionBy("conv").orderBy("first").rangeBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("redone", F.max(F.when(F.col("kind") == "regenerate", F.col("seq"))).over(earlier))
+    back = F.coalesce(F.col("redone") > F.col("first"), F.lit(False))
     live = rows.where(~back & (F.col("reset").isNull() | (F.col("seq") >= F.col("reset")) | (F.col("kind") == "open")))
     writes = F.when(F.col("kind").isin("delete", "regenerate"), F.lit("")).when(F.col("reset").isNotNull() & (F.col("seq") < F.col("reset")), F.lit("")).otherwise(F.coalesce("text", F.lit("")))
     parts = F.array_sort(F.collect_list(F.struct("seq", "kind", F.coalesce("role", F.lit("")).alias("role"), writes.alias("text"))))
