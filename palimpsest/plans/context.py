@@ -22,8 +22,9 @@ CLASSED = """, q AS (SELECT *, pos < {first} OR coalesce(pos = min(CASE WHEN rol
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1
-    return table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("conv"), place.cast("long").alias("pos"), "role", F.coalesce("text", F.lit("")).alias("content"))
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("conv"), "turn", "role", F.coalesce("text", F.lit("")).alias("content"))
+    place = F.row_number().over(Window.partitionBy("conv").orderBy("turn")) - 1
+    return rows.select("conv", place.cast("long").alias("pos"), "role", "content")
 
 
 @query(BASE + "SELECT conv, pos AS ord, pos, role, content, sum(tok) OVER (PARTITION BY conv ORDER BY pos)::BIGINT AS tokens_so_far FROM p")
@@ -100,8 +101,9 @@ def trigger_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    place = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
-    return table(spark, sf_dir, "events").select(F.col("user_id").alias("conv"), place.cast("long").alias("pos"), "event_id", "ts", "event_type", "value", "props")
+    rows = table(spark, sf_dir, "events").withColumnRenamed("user_id", "conv")
+    place = F.row_number().over(Window.partitionBy("conv").orderBy("ts", "event_id")) - 1
+    return rows.select("conv", place.cast("long").alias("pos"), "event_id", "ts", "event_type", "value", "props")
 
 
 @query(BASE + "SELECT conv, pos, role, content, back <= 2 AS retrieved FROM p WHERE back <= 3")
