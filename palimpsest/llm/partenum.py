@@ -12,14 +12,18 @@ out, for very many sets would share them: with k of ``MANY`` or more there are `
 beyond what the pigeonhole needs, so that linked sets have so many chances more (all are
 empty with a probability below 1e-11 for a pair that differs in k elements, and far below
 for others); with smaller k, a set with such a signature also has its prefix as signatures,
-the least elements by hash of which linked sets must share one.
+the least elements by hash of which linked sets must share one.  Below a similarity of
+``PAIRS_FROM`` percent there are k + 1 parts (PartEnum with n2 = 1), which makes a third fewer
+signatures; there, with k of ``MANY_PLAIN`` or more, signatures of fewer than ``LEAST_PLAIN``
+elements are left out as well, as a passage in many documents would tie all of these, and
+``SPARE_PLAIN`` parts make up for it.
 
 Classes that share signatures form candidate groups (components of the graph that
 ties each class to the least of its signature).  Only there are sets compared,
 exactly: in a task, sets are joined over their rarest elements (prefix filter) and
 the intersection is counted.  A group larger than ``block`` elements is cut into
-cells by band and hash; each pair of cells of near bands is one task, so no task
-grows with the group and no pair of rows is ever shuffled.
+cells by band and hash; each pair of cells of equal or neighbouring bands is one task,
+so no task grows with the group and no pair of rows is ever shuffled.
 
 Defined results: null and empty texts have the empty set and link with nothing;
 equal texts link; repeated rows give repeated results (keys are otherwise taken to
@@ -33,7 +37,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
@@ -44,6 +48,11 @@ from palimpsest.llm.words import mix, shingles
 #: Parts beyond the pigeonhole's, from so many differing elements on.
 SPARE = 6
 MANY = 24
+#: Below this similarity the parts aren't divided: each is one signature; the same numbers for these, and the elements that a signature then needs.
+PAIRS_FROM = 85
+SPARE_PLAIN = 10
+MANY_PLAIN = 60
+LEAST_PLAIN = 3
 #: Elements of the sets that a task compares with each other.
 BLOCK = 2_000_000
 
@@ -71,43 +80,53 @@ def signatures(h: np.ndarray, bands: Bands) -> np.ndarray:
     bands.of(bands.low[own + 1])
     m, needy = mix(h), False
     spread, at_random = m >> np.uint64(20), mix(m)
+    pairs = bands.percent >= PAIRS_FROM
     for band in (own, own + 1):
         k = bands.differ(band)
         if not k:
             continue
-        parts = (k + 2) // 2 + (SPARE if k >= MANY else 0)
-        at = (spread % np.uint64(3 * parts)).astype(np.int64)
-        sums = np.zeros(3 * parts, np.uint64)
+        many = k >= (MANY if pairs else MANY_PLAIN)
+        need = 1 if pairs or not many else LEAST_PLAIN
+        parts = 3 * ((k + 2) // 2 + SPARE * many) if pairs else k + 1 + SPARE_PLAIN * many
+        at = (spread % np.uint64(parts)).astype(np.int64)
+        sums = np.zeros(parts, np.uint64)
         np.add.at(sums, at, at_random)
-        full = (np.bincount(at, minlength=3 * parts) > 0).reshape(parts, 3)
-        sums = mix(sums.reshape(parts, 3) + np.arange(3 * parts, dtype=np.uint64).reshape(parts, 3))
-        tag = np.uint64(band) << np.uint64(40)
+        counts = np.bincount(at, minlength=parts)
+        sums = mix(sums + np.arange(parts, dtype=np.uint64)) + (np.uint64(band) << np.uint64(40))
+        if not pairs:
+            some = counts >= need
+            needy |= not many and not some.all()
+            out.append(mix(sums[some]))
+            continue
+        sums, counts = sums.reshape(-1, 3), counts.reshape(-1, 3)
         for a, b in ((0, 1), (0, 2), (1, 2)):
-            some = full[:, a] | full[:, b]
-            needy |= k < MANY and not some.all()
-            out.append(mix(mix(sums[some, a] + tag) ^ sums[some, b] + np.uint64(a * 3 + b)))
+            some = counts[:, a] + counts[:, b] >= need
+            needy |= not many and not some.all()
+            out.append(mix(mix(sums[some, a]) ^ sums[some, b] + np.uint64(a * 3 + b)))
     if needy:
         out.append(np.sort(at_random)[: len(h) - -(-len(h) * bands.percent // 100) + 1])
     return np.concatenate(out) if out else h[:0]
 
 
-def classes(docs: DataFrame, key: str, text: str, n: int) -> DataFrame:
-    """Rows (id, size, digest, node) of the texts; node is half of the set's digest, null for the empty set."""
+def classes(docs: DataFrame, key: str, text: str, n: int, percent: int) -> DataFrame:
+    """Rows (id, size, band, digest, node) of the texts; node is half of the set's digest, null for the empty set."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingles(t, n) for t in batch.column(1).to_pylist()]
         digests = [xxh3_128_digest(h.tobytes()) if len(h) else None for h in sets]
+        bands = Bands(percent)
         return pa.RecordBatch.from_arrays(
             [
                 batch.column(0),
                 pa.array([len(h) for h in sets], pa.int64()),
+                pa.array([bands.of(len(h)) if len(h) else None for h in sets], pa.int32()),
                 pa.array(digests, pa.binary()),
                 pa.array([None if d is None else int.from_bytes(d[:8], "little", signed=True) for d in digests], pa.int64()),
             ],
-            names=["id", "size", "digest", "node"],
+            names=["id", "size", "band", "digest", "node"],
         )
 
-    return map_arrow(docs.select(F.col(key).alias("id"), text), run, f"id {docs.schema[key].dataType.simpleString()}, size long, digest binary, node long")
+    return map_arrow(docs.select(F.col(key).alias("id"), text), run, f"id {docs.schema[key].dataType.simpleString()}, size long, band int, digest binary, node long")
 
 
 #: Sets that a task remembers, so that copies in one task give their signatures once.
@@ -212,32 +231,36 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     """Rows (key, n_shingles, component_id, n_links): the component's smallest key, and the number of other rows that a row links with.
 
     The key is an integer; rows whose key is null come back with null component and links."""
-    rows = cut(classes(docs, key, text, n))
-    cls = rows.where("digest IS NOT NULL AND id IS NOT NULL").groupBy("digest", "node").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.max("size").alias("size"))
+    rows = cut(classes(docs, key, text, n, percent))
+    cls = rows.where("digest IS NOT NULL AND id IS NOT NULL").groupBy("digest", "node").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.max("size").alias("size"), F.max("band").alias("band"))
     # the filter is what the join would add; with it both readers share one exchange
     dealt = signed(docs, text, n, percent).where("sig IS NOT NULL AND node IS NOT NULL").repartition("sig")
     shared = dealt.groupBy("sig").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("sig", "least")
     ties = dealt.join(shared, "sig").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
-    member = components(ties).join(cls, "node").select("rep", "component", "copies", "size")
-    total = member.groupBy("component").agg(F.sum("size").alias("total"))
-    cells = F.ceil(F.col("total") / F.lit(block / 2)).cast("int")
-    member = member.join(total, "component").withColumn("cells", F.when(F.col("total") <= block, 1).otherwise(cells))
-    member = member.withColumn("cell", F.pmod(F.xxhash64("rep"), F.col("cells")).cast("int"))
-    # in a large group: the task of cells i <= j gets the rows of both
-    other = F.sequence(F.lit(0), F.col("cells") - 1)
-    member = member.withColumn("other", F.explode(other)).select(
-        F.col("rep").alias("id"), "copies",
-        F.concat_ws("/", "component", F.least("cell", "other"), F.greatest("cell", "other")).alias("task"),
-        (F.col("cell") != F.col("other")).alias("mixed"), "cell", "cells",
+    member = components(ties).join(cls, "node").select("rep", "component", "copies", "size", "band")
+    # cells of each band of the large groups, and of the bands next to it; one row a group and band
+    order = Window.partitionBy("component").orderBy("band")
+    parts = member.groupBy("component", "band").agg(F.sum("size").alias("part")).withColumn("total", F.sum("part").over(Window.partitionBy("component")))
+    parts = parts.withColumn("cells", F.when(F.col("total") <= block, 0).otherwise(F.ceil(F.col("part") / F.lit(block / 2))).cast("int"))
+    near = lambda f, step: F.when(f("band").over(order) == F.col("band") + step, f("cells").over(order)).otherwise(0)
+    parts = parts.withColumns({"below": near(F.lag, -1), "above": near(F.lead, 1)}).drop("part", "total")
+    member = member.join(parts, ["component", "band"]).withColumn("cell", F.pmod(F.xxhash64("rep"), F.greatest("cells", F.lit(1))).cast("int"))
+    numbers = lambda c: F.filter(F.sequence(F.lit(0), F.greatest(c, F.lit(1)) - 1), lambda j: j < c)
+    task = lambda two, side, *name: F.struct(F.concat_ws("/", *[x.cast("string") for x in name]).alias("task"), two.alias("two"), side.alias("side"))
+    comp, band, cell = F.col("component"), F.col("band"), F.col("cell")
+    alone = F.array(task(F.lit(False), F.lit(0), comp))
+    tasks = F.concat(
+        F.transform(numbers(F.col("cells")), lambda j: task(j != cell, cell, comp, band, F.least(cell, j), F.greatest(cell, j))),
+        F.transform(numbers(F.col("above")), lambda j: task(F.lit(True), F.lit(0), comp, band, cell, F.lit("up"), j)),
+        F.transform(numbers(F.col("below")), lambda j: task(F.lit(True), F.lit(1), comp, band - 1, j, F.lit("up"), cell)),
     )
-    # rows of a cell meet those of each other cell, and among themselves in the task of that cell alone
-    member = member.select("id", "copies", "task", F.col("mixed").alias("two"), F.col("cell").alias("side"))
+    member = member.select(F.col("rep").alias("id"), "copies", F.explode(F.when(F.col("cells") == 0, alone).otherwise(tasks)).alias("t")).select("id", "copies", "t.*")
     texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
     found = cut(compared(texts.join(member, "id"), n, percent))
     comp = components(found.where("b IS NOT NULL")).select(F.col("node").alias("rep"), "component")
     links = found.where("b IS NULL").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
     named = cls.join(comp, "rep", "left").join(links, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    out = rows.drop("sigs").join(named, "digest", "left")
+    out = rows.drop("band").join(named, "digest", "left")
     alone = F.col("digest").isNull() | F.col("id").isNull()
     return out.select(
         F.col("id").alias(key), F.col("size").alias("n_shingles"),
