@@ -149,25 +149,34 @@ def actions_differ(a: Column, b: Column) -> Column:
 
 
 def plain_observation(c: Column, most: int = 2000) -> Column:
-    """Without return codes, times, addresses, process numbers and repeated space; cut."""
-    for pattern, to in ((r"<returncode>\d+</returncode>", ""), (r"\d+\.\d+\s*s(?:econds)?\b", "TIME"), (r"0x[0-9a-fA-F]+", "ADDR"), (r"\bpid[ =:]*\d+", "PID"), (r"\s+", " ")):
-        c = F.regexp_replace(c, pattern, to)
-    return F.substring(F.trim(c), 1, most)
+    """The return code, and the output without times, addresses, process numbers and repeated space, cut."""
+    code = F.nullif(F.regexp_extract(c, r"<returncode>(\d+)</returncode>", 1), F.lit(""))
+    out = F.when(F.regexp_like(c, F.lit(r"(?s)<output>.*?</output>")), F.regexp_extract(c, r"(?s)<output>(.*?)</output>", 1)).otherwise(c)
+    out = F.regexp_replace(out, r"^\s+|\s+$", "")
+    for pattern, to in ((r"\d+\.\d+s", "Xs"), (r"0x[0-9a-fA-F]+", "0xADDR"), (r"pid=\d+", "pid=N"), (r"\s+", " ")):
+        out = F.regexp_replace(out, pattern, to)
+    return F.concat(F.lit("rc="), F.coalesce(code, F.lit("?")), F.lit("|"), F.substring(out, 1, most))
 
 
-#: What redaction looks for.
-PATHS = r"(?:/[\w.-]+){2,}"
-ERRORS = r"\b\w*(?:Error|Exception)\b"
-CALLS = r"\b\w+\(\)"
-LINES = r"(?i)\bline \d+\b"
+def observations_differ(a: Column, b: Column) -> Column:
+    """Whether two observations differ in code or output; yes if one is empty."""
+    empty = (F.coalesce(a, F.lit("")) == "") | (F.coalesce(b, F.lit("")) == "")
+    return empty | (plain_observation(a) != plain_observation(b))
+
+
+# What redaction looks for.
+PATHS = r"/(?:testbed|home|opt|usr|tmp)[\w/\-\.]+\.(?:py|js|ts|json|yaml|yml|cfg|ini|txt|md|rst)"
+ERRORS = r"(?:Error|Exception|Traceback|FAILED|AssertionError|TypeError|ValueError|KeyError|AttributeError|ImportError)[^\n]{0,200}"
+FUNCTIONS = r"(?:def |class |function )\w+"
+LINES = r"(?:line |:)\d+"
 
 
 def redacted(c: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(c, PATHS, "[PATH]"), ERRORS, "[ERROR]"), CALLS, "[FUNCTION]")
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(c, PATHS, "<REDACTED_PATH>"), ERRORS, "<REDACTED_ERROR>"), FUNCTIONS, "<REDACTED_FUNC>")
 
 
 def without_attributes(c: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(c, PATHS, ""), ERRORS, ""), LINES, "")
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(c, PATHS, "___"), ERRORS, "___"), LINES, "")
 
 
 def source_model(c: Column) -> Column:

@@ -9,8 +9,8 @@ from palimpsest.functions import text as X
 from palimpsest.operators.context import placed
 from palimpsest.operators.sets import draw
 
-#: Fixed value: how summaries begin or what they hold.
-SUMMARY = r"(?i)summary|condensed|previous conversation"
+# Fixed value: what summaries hold.
+SUMMARY = r"USER_CONTEXT|TASK_TRACKING|CURRENT_STATE|Summary of|summary of|condensed"
 #: What is put into a summary as noise.
 NOISE = ["Note: the config was reloaded.", "An unrelated test was skipped.", "Disk usage was checked.", "A branch was renamed."]
 

@@ -51,8 +51,14 @@ def hunk_coverage(hunks: Column, n: Column) -> tuple[Column, Column]:
     return F.when(n == 0, F.lit(1.0)).otherwise(F.size(distinct) / n), F.when(n == 0, F.lit(0.0)).otherwise(F.size(inside) / n)
 
 
-#: Questions that give their answer away.
-LEAKY = [r"\bthe answer is\b", r"\bas (?:shown|stated) (?:above|below)\b", r"\bfact \d+\b", r"\bline \d+\b", r"\bcommit [0-9a-f]{7,}\b"]
+# What gives a change away in a question.
+LEAKY = [
+    r"\b(added|removed|deleted|inserted|changed)\b",
+    r"\bline\s+\d+\b",
+    r"\b(the patch|the diff|the change)\b",
+    r"[+\-]{3}\s",
+    r"@@\s",
+]
 
 
 def leaky(question: Column) -> Column:

@@ -69,7 +69,7 @@ def triage_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT * FROM (VALUES (1, true), (2, true), (3, false), (4, true)) t(id, leaky)")
 def leaky_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = spark.createDataFrame([(1, "Why, if The Answer is 4?"), (2, "What about commit abcdef12?"), (3, "What is cached?"), (4, "See line 12")], "id int, q string")
+    df = spark.createDataFrame([(1, "Which check was Added?"), (2, "What does the diff do?"), (3, "What is cached?"), (4, "See line 12")], "id int, q string")
     return df.select("id", Q.leaky(F.col("q")).alias("leaky"))
 
 

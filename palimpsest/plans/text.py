@@ -37,8 +37,10 @@ def keyword_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("conv_id", X.recall(X.terms(F.col("first")), said).alias("recall"))
 
 
-@query(r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '(?:/[\w.-]+){2,}', '[PATH]', 'g'), '\b\w*(?:Error|Exception)\b', '[ERROR]', 'g'), '\b\w+\(\)', '[FUNCTION]', 'g') AS redacted,
-  regexp_replace(regexp_replace(regexp_replace(text, '(?:/[\w.-]+){2,}', '', 'g'), '\b\w*(?:Error|Exception)\b', '', 'g'), '(?i)\bline \d+\b', '', 'g') AS without FROM documents""")
+@query(
+    f"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '{X.PATHS}', '<REDACTED_PATH>', 'g'), '{X.ERRORS}', '<REDACTED_ERROR>', 'g'), '{X.FUNCTIONS}', '<REDACTED_FUNC>', 'g') AS redacted, "
+    f"regexp_replace(regexp_replace(regexp_replace(text, '{X.PATHS}', '___', 'g'), '{X.ERRORS}', '___', 'g'), '{X.LINES}', '', 'g') AS without FROM documents"
+)
 def redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("text")
     return table(spark, sf_dir, "documents").select("doc_id", X.redacted(t).alias("redacted"), X.without_attributes(t).alias("without"))
@@ -113,10 +115,12 @@ def element_translation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return occurrences(side("old"), side("new"), ["role", "name"], "pos", "ident", ["id"]).select("old_id", "new_id", "role")
 
 
-@query("SELECT * FROM (VALUES (1, 'ran in TIME at ADDR PID'), (2, 'x y')) t(id, seen)")
+@query("SELECT * FROM (VALUES (1, 'rc=0|ran in Xs at 0xADDR pid=N', false), (2, 'rc=?|x y', true), (3, 'rc=?|', true)) t(id, seen, differ)")
 def observation_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = spark.createDataFrame([(1, "<returncode>0</returncode>ran in 1.5 seconds at 0xFF\n pid=42"), (2, " x\n\ny ")], "id int, t string")
-    return df.select("id", X.plain_observation(F.col("t")).alias("seen"))
+    """Observations without what changes from run to run, and whether two differ."""
+    rows = [(1, "<returncode>0</returncode>\n<output>\nran in 1.5s at 0xFF\n pid=42\n</output>", "<returncode>0</returncode><output>ran in 2.25s at 0xA  pid=7</output>"), (2, " x\n\ny ", "x z"), (3, "", "")]
+    df = spark.createDataFrame(rows, "id int, a string, b string")
+    return df.select("id", X.plain_observation(F.col("a")).alias("seen"), X.observations_differ(F.col("a"), F.col("b")).alias("differ"))
 
 
 @query("SELECT * FROM (VALUES (1, 'naive', 32000, 'hard'), (2, 'plain', 500, 'easy'), (3, 'x_both_', NULL, 'medium'), (4, 'a', 7, 'medium')) t(id, strategy, tokens, difficulty)")
