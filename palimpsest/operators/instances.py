@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.cluster import ship
+from palimpsest.cluster import cut, ship
 from palimpsest.functions import text as X
 
 
@@ -42,20 +42,34 @@ def compared(runs: DataFrame, base: DataFrame, key: str) -> DataFrame:
 
 
 def similar_instances(df: DataFrame, key: str, text: str, k: int, most: int) -> DataFrame:
-    """For each instance the k others that share the most words, ties by key.
+    """For each instance the k others that share the most words (one at least), ties by key; counts are those of all words.
 
-    Words of more than ``most`` instances say little and would pair all with all: they count only for pairs that share a rarer
-    one, through the word sets themselves, so counts are those of all words."""
+    Pairs that share a word of at most ``most`` instances are compared first.  Other pairs share commoner words only: where the k-th
+    best so far shares t words, one that shares t of an instance's c common words has one of its c - t + 1 rarest, so only those are
+    joined, and none where c < t.  ``most`` moves work between the two steps and doesn't change the result."""
     rows = df.select(key, F.array_distinct(X.terms(F.col(text))).alias("w"))
     words = rows.select(key, F.explode("w").alias("word"))
-    rare = words.groupBy("word").agg(F.count("*").alias("n")).where((F.col("n") > 1) & (F.col("n") <= most)).select("word")
-    near = words.join(rare, "word")
-    pairs = near.select("word", F.col(key).alias("a")).join(near.select("word", F.col(key).alias("b")), "word").where("a <> b").select("a", "b").distinct()
+    known = words.join(words.groupBy("word").agg(F.count("*").alias("n")).where("n > 1"), "word")
+    near, common = known.where(F.col("n") <= most), known.where(F.col("n") > most)
+    other = lambda x: x.select("word", F.col(key).alias("b"))
     sets = rows.select(F.col(key).alias("a"), F.col("w").alias("wa"))
-    both = pairs.join(sets, "a").join(rows.select(F.col(key).alias("b"), F.col("w").alias("wb")), "b")
-    scored = both.select("a", "b", F.size(F.array_intersect("wa", "wb")).alias("shared"))
-    rank = F.row_number().over(Window.partitionBy("a").orderBy(F.col("shared").desc(), "b"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("a").alias(key), F.col("b").alias("other"), "shared", "rank")
+
+    def scored(asked: DataFrame, of: DataFrame) -> DataFrame:
+        pairs = asked.select("word", F.col(key).alias("a")).join(other(of), "word").where("a <> b").select("a", "b").distinct()
+        both = pairs.join(sets, "a").join(rows.select(F.col(key).alias("b"), F.col("w").alias("wb")), "b")
+        return both.select("a", "b", F.size(F.array_intersect("wa", "wb")).alias("shared"))
+
+    def best(x: DataFrame) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy("a").orderBy(F.col("shared").desc(), "b"))
+        return x.withColumn("rank", rank).where(F.col("rank") <= k)
+
+    first = cut(best(scored(near, near)))
+    bound = first.where(F.col("rank") == k).select(F.col("a").alias(key), F.col("shared").alias("t"))
+    # 1 for the commonest word of an instance: the places from t on are its rarest c - t + 1
+    place = F.row_number().over(Window.partitionBy(key).orderBy(F.col("n").desc(), "word"))
+    asked = common.withColumn("place", place).join(bound, key, "left").where(F.col("place") >= F.coalesce("t", F.lit(1)))
+    found = best(first.drop("rank").union(scored(asked, common)).distinct())
+    return found.select(F.col("a").alias(key), F.col("b").alias("other"), "shared", "rank")
 
 
 def binned(df: DataFrame, group: str, order: str, size: str, budget: int, most: int) -> DataFrame:

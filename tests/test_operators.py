@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from palimpsest.operators import context, graph, metrics, pairs, ranking, registry, retrieval, sets
+from palimpsest.operators import context, graph, instances, metrics, pairs, ranking, registry, retrieval, sets
 from palimpsest.sources import readers, sinks
 
 
@@ -153,3 +153,16 @@ def test_sources_by_spec(spark):
     assert [d.count() for d in readers.source_plan("b + a", {"a": spark.range(1), "b": spark.range(2)})] == [2, 1]
     with pytest.raises(ValueError):
         readers.source_plan("c", {"a": spark.range(1)})
+
+
+def test_similar_instances_compare_common_words_too(spark):
+    rng = random.Random(5)
+    texts = {i: " ".join({f"common{int(rng.paretovariate(0.5)) % 30:02d}" for _ in range(rng.randrange(1, 9))} | {f"scarce{rng.randrange(200):03d}"}) for i in range(120)}
+    sets = {i: set(t.split()) for i, t in texts.items()}
+    want = []
+    for i, w in sets.items():
+        near = sorted((-len(w & o), j) for j, o in sets.items() if j != i and w & o)[:3]
+        want += [(i, j, -n, rank) for rank, (n, j) in enumerate(near, 1)]
+    df = spark.createDataFrame(list(texts.items()), "id long, text string")
+    for most in (2, 5, 1000):
+        assert rows(instances.similar_instances(df, "id", "text", 3, most)) == sorted(want)
