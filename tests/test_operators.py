@@ -166,3 +166,23 @@ def test_similar_instances_compare_common_words_too(spark):
     df = spark.createDataFrame(list(texts.items()), "id long, text string")
     for most in (2, 5, 1000):
         assert rows(instances.similar_instances(df, "id", "text", 3, most)) == sorted(want)
+
+
+def test_full_text_asks_for_all_words(spark):
+    docs = spark.createDataFrame([(1, "one two three four"), (2, "one two three four five six"), (3, "six"), (4, "seven eight"), (5, "nine nine one"), (6, None)], "id long, text string")
+    asked = spark.createDataFrame([("a", "one two three four five"), ("b", "one two three four five seven"), ("c", "six seven"), ("d", "nine six seven")], "q string, t string")
+    got = {}
+    for r in retrieval.full_text(docs, asked, "id", "text", "q", "t", 2).orderBy("q", "rank").collect():
+        got.setdefault(r.q, []).append((r.id, r.found, r.mode))
+    # a's fifth word is in one document only; b has no document with all words; c is too short for any of them
+    assert got == {"a": [(2, 5, "and")], "b": [(2, 5, "or"), (1, 4, "or")], "d": [(5, 1, "or"), (4, 1, "or")]}
+
+
+def test_registered_search_uses_whole_items(spark, sf):
+    from palimpsest.plans import catalog
+
+    texts = {r.item_id: set(r.text.lower().split()) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
+    got = catalog.QUERIES["full_text_search"](spark, sf).collect()
+    assert {r.item_id for r in got} == set(texts)
+    assert all(r.found == len(texts[r.item_id]) for r in got if r["mode"] == "and")
+    assert max(r["rank"] for r in got) == 5 and max(r.found for r in got) > 4
