@@ -5,6 +5,8 @@ they are undefined (one class, or one score only)."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -107,13 +109,34 @@ def class_weights(df: DataFrame, label: str = "label", cap: float = 10.0) -> Dat
     return per.crossJoin(F.broadcast(total)).select(label, "n", F.when(F.col("classes") < 2, F.lit(1.0)).otherwise(w).alias("weight"))
 
 
-def bootstrap_accuracy(df: DataFrame, replicates: int, key: str = "id", seed: int = 42) -> DataFrame:
-    """Accuracy in each replicate, where a row counts as often as a Poisson(1) draw by md5 of (row, replicate, seed) says.
-
-    The draws need no row of another, so replicates are sums in one pass; bounds are percentiles over replicates."""
+def poisson_draws(df: DataFrame, replicates: int, key: str, seed: int) -> DataFrame:
+    """Each row for each replicate (``rep``), with ``times``: a Poisson(1) draw by md5 of (row, replicate, seed)."""
     unit = F.conv(F.substring(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.col("rep").cast("string"), F.lit(str(seed)))), 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
     # cumulative shares of Poisson(1) for 0, 1, 2, ...
     steps = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183]
     times = sum((F.when(unit >= s, 1).otherwise(0) for s in steps), F.lit(0))
-    rows = df.select(key, ((F.col("p") >= 0.5) == F.col("label")).cast("int").alias("right"), F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep"))
-    return rows.withColumn("times", times).groupBy("rep").agg(F.sum("times").alias("n"), F.sum(F.col("times") * F.col("right")).alias("n_right")).select("rep", "n", F.try_divide("n_right", "n").alias("accuracy"))
+    return df.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("times", times)
+
+
+def bootstrap_accuracy(df: DataFrame, replicates: int, key: str = "id", seed: int = 42) -> DataFrame:
+    """Accuracy in each replicate, where a row counts as often as a Poisson(1) draw by md5 of (row, replicate, seed) says.
+
+    The draws need no row of another, so replicates are sums in one pass; ``bootstrap_interval`` gives bounds."""
+    rows = poisson_draws(df.select(key, ((F.col("p") >= 0.5) == F.col("label")).cast("int").alias("right")), replicates, key, seed)
+    return rows.groupBy("rep").agg(F.sum("times").alias("n"), F.sum(F.col("times") * F.col("right")).alias("n_right")).select("rep", "n", F.try_divide("n_right", "n").alias("accuracy"))
+
+
+def bootstrap_interval(df: DataFrame, metric: Callable[[DataFrame, list[str]], DataFrame], names: list[str], replicates: int = 1000, ci: float = 0.95, key: str = "id", seed: int = 42) -> DataFrame:
+    """Rows (metric, defined, lower, upper): percentile bounds of columns of a metric over seeded replicates.
+
+    ``metric`` is called once, as ``confusion`` and ``auroc`` are, with the rows drawn and ["rep"].  Bounds are values at sorted places,
+    null where fewer than max(20, replicates div 10) replicates have a value.  One value a replicate is all that is gathered."""
+    low = (1.0 - ci) / 2.0
+    drawn = poisson_draws(df.select(key, "label", "p"), replicates, key, seed).where("times > 0")
+    drawn = drawn.select("rep", key, "label", "p", F.explode(F.array_repeat(F.lit(1), F.col("times")))).drop("col")
+    values = metric(drawn, ["rep"]).select(F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).cast("double").alias("v")) for n in names])).alias("x"))
+    n = F.size("s")
+    at = lambda place: F.get("s", F.greatest(F.lit(0), F.least(n - 1, place)))
+    out = values.groupBy("x.metric").agg(F.sort_array(F.collect_list("x.v")).alias("s"))
+    bound = lambda place: F.when(n >= max(20, replicates // 10), at(place))
+    return out.select("metric", n.alias("defined"), bound((F.lit(low) * n).cast("int")).alias("lower"), bound((F.lit(1.0 - low) * n).cast("int") - 1).alias("upper"))

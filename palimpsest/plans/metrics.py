@@ -118,6 +118,32 @@ def bootstrap_replicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.bootstrap_accuracy(scored(spark, sf_dir), 50)
 
 
+LOW = (1.0 - 0.95) / 2.0
+DRAWN = BASE + """, u AS (SELECT id, label, p, rep, ('0x' || substr(md5(id::VARCHAR || ':' || rep::VARCHAR || ':42'), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM scored, range(1000) r(rep)),
+ d AS (SELECT rep, label, p, (u >= 0.36787944117144233::DOUBLE)::INT + (u >= 0.7357588823428847::DOUBLE)::INT + (u >= 0.9196986029286058::DOUBLE)::INT + (u >= 0.9810118431238462::DOUBLE)::INT
+   + (u >= 0.9963401531726563::DOUBLE)::INT + (u >= 0.9994058151824183::DOUBLE)::INT AS w FROM u)"""
+BOUNDS = f"""s AS (SELECT metric, count(v) AS n, list_sort(list(v) FILTER (v IS NOT NULL)) AS s FROM v GROUP BY metric)
+ SELECT metric, n::INT AS defined, CASE WHEN n >= 100 THEN round(s[greatest(0, trunc('{LOW!r}'::DOUBLE * n)::INT) + 1], 9) END AS lower,
+   CASE WHEN n >= 100 THEN round(s[greatest(0, least(n - 1, trunc('{1.0 - LOW!r}'::DOUBLE * n)::INT - 1))::INT + 1], 9) END AS upper FROM s"""
+
+
+@query(DRAWN + """, c AS (SELECT rep, sum(w) AS n, coalesce(sum(w) FILTER (NOT label AND p < 0.5), 0) AS tp, coalesce(sum(w) FILTER (label AND p < 0.5), 0) AS fp,
+   coalesce(sum(w) FILTER (label AND p >= 0.5), 0) AS tn, coalesce(sum(w) FILTER (NOT label AND p >= 0.5), 0) AS fn FROM d GROUP BY rep HAVING sum(w) > 0),
+ q AS (SELECT *, coalesce(tp / nullif(tp + fp, 0), 0)::DOUBLE AS a, coalesce(tp / nullif(tp + fn, 0), 0)::DOUBLE AS b FROM c),
+ v AS (SELECT 'accuracy' AS metric, ((tp + tn) / n)::DOUBLE AS v FROM q UNION ALL SELECT 'harmful_f1', coalesce(2 * a * b / nullif(a + b, 0), 0) FROM q), """ + BOUNDS)
+def bootstrap_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """95 percent intervals of accuracy and F1 over 1000 replicates."""
+    return rounded(M.bootstrap_interval(scored(spark, sf_dir), M.confusion, ["accuracy", "harmful_f1"]), "lower", "upper")
+
+
+@query(DRAWN + """, g AS (SELECT rep, p, coalesce(sum(w) FILTER (label), 0) AS pos, coalesce(sum(w) FILTER (NOT label), 0) AS neg FROM d WHERE w > 0 GROUP BY ALL),
+ h AS (SELECT *, sum(pos) OVER (PARTITION BY rep ORDER BY p DESC) AS ctp FROM g),
+ v AS (SELECT 'auroc' AS metric, CASE WHEN sum(pos) * sum(neg) > 0 AND count(*) > 1 THEN (sum(neg * (2 * ctp - pos) / 2) / (sum(pos) * sum(neg)))::DOUBLE END AS v FROM h GROUP BY rep), """ + BOUNDS)
+def bootstrap_bounds_auroc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for the area under the curve."""
+    return rounded(M.bootstrap_interval(scored(spark, sf_dir), M.auroc, ["auroc"]), "lower", "upper")
+
+
 @query("SELECT o_orderpriority AS arm, count(*) AS n, sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END)::BIGINT AS resolved, (count(*) FILTER (o_orderstatus = 'F') / count(*))::DOUBLE AS resolve_rate, min(o_totalprice) AS lo, max(o_totalprice) AS hi, round(avg(o_totalprice) FILTER (o_totalprice > 0), 4) AS mean_over, count(DISTINCT o_custkey) AS instances FROM orders GROUP BY 1")
 def arm_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, rates and conditional means by arm."""

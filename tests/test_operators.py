@@ -186,3 +186,16 @@ def test_registered_search_uses_whole_items(spark, sf):
     assert {r.item_id for r in got} == set(texts)
     assert all(r.found == len(texts[r.item_id]) for r in got if r["mode"] == "and")
     assert max(r["rank"] for r in got) == 5 and max(r.found for r in got) > 4
+
+
+def test_bootstrap_bounds_are_sorted_places_and_null_if_mostly_undefined(spark):
+    df = spark.createDataFrame([(i, i % 3 > 0, (i * 37 % 20) / 19) for i in range(40)], "id long, label boolean, p double")
+    each = sorted(r.accuracy for r in metrics.bootstrap_accuracy(df, 1000).collect())
+    got = metrics.bootstrap_interval(df, metrics.confusion, ["accuracy", "harmful_f1"]).orderBy("metric").collect()
+    low = (1.0 - 0.95) / 2.0
+    assert (got[0].metric, got[0].defined, got[0].lower, got[0].upper) == ("accuracy", 1000, each[int(low * 1000)], each[int((1.0 - low) * 1000) - 1])
+    assert got[1].metric == "harmful_f1" and 0 < got[1].lower < got[1].upper < 1
+    area = metrics.auroc(df).first().auroc
+    assert metrics.bootstrap_interval(df, metrics.auroc, ["auroc"]).where(F.col("lower").between(0, area) & F.col("upper").between(area, 1)).count() == 1
+    one_class = metrics.bootstrap_interval(df.where("label"), metrics.auroc, ["auroc"]).first()
+    assert (one_class.defined, one_class.lower, one_class.upper) == (0, None, None)
