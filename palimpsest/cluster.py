@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -39,20 +41,41 @@ def broadcast_once(spark: SparkSession, value: bytes) -> Broadcast:
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share: below spark.checkpoint.dir, or a temporary one where that is unset."""
+    """A new folder that driver and executors share: below spark.checkpoint.dir, or in tests a temporary one."""
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Removes a folder of the cluster's store, if it is there."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def written(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written there to its end."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; where it is unset (in tests), a temporary folder is set for checkpoints."""
+    """spark.checkpoint.dir of the session, or the folder that its context was given.
+
+    Where neither is set, a session on this machine alone (tests) gets a temporary folder, which goes at the end; on a
+    cluster, whose executors wouldn't see that, this is an error."""
     given = spark.conf.get("spark.checkpoint.dir", None)
     if given:
         return given
     sc = spark.sparkContext
-    if not getattr(sc, "_palimpsest_checkpoints", None):
-        sc._palimpsest_checkpoints = tempfile.mkdtemp()
-        sc.setCheckpointDir(sc._palimpsest_checkpoints)
-    return sc._palimpsest_checkpoints
+    set_there = sc._jsc.sc().getCheckpointDir()
+    if set_there.isDefined():
+        return set_there.get()
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    folder = tempfile.mkdtemp()
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    sc.setCheckpointDir(folder)
+    return checkpoint_dir(spark)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -64,8 +87,8 @@ def cut(df: DataFrame) -> DataFrame:
 def map_arrow(df: DataFrame, run: Callable, schema: T.StructType | str, rows: int = 1024, size: int = 8 << 20, task: bool = False) -> DataFrame:
     """mapInArrow in slices of at most so many rows, and of about so many bytes where one row isn't larger.
 
-    task: run() makes the function, anew for each task, so that it may keep something meanwhile; its attribute
-    close, if there is one, is called at the task's end."""
+    task: run() makes the function, anew for each task, so that it may keep something meanwhile; its attributes
+    rest (what is left to give) and close, if there are any, are called at the task's end."""
     ship(df.sparkSession)
 
     def every(batches: Iterable) -> Iterator:
@@ -77,6 +100,7 @@ def map_arrow(df: DataFrame, run: Callable, schema: T.StructType | str, rows: in
                 for at in range(0, n, step):
                     out = each(batch.slice(at, step))
                     yield from out if isinstance(out, list) else [out]
+            yield from getattr(each, "rest", list)()
         finally:
             getattr(each, "close", lambda: None)()
             give_back()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.cluster import cut
@@ -11,22 +11,27 @@ from palimpsest.cluster import cut
 ROUNDS = 60
 
 
+def smallest(edges: DataFrame, what: Column) -> DataFrame:
+    """Rows (node, m) for each a; node is an aggregate, so a join by it deals these few rows anew and the edges stand alone on their side."""
+    return edges.groupBy("a").agg(F.min("a").alias("node"), what.alias("m")).select("node", "m")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Rows (node, component) of the nodes that have edges (a, b); component is the smallest node reachable.
 
     Each round hangs every node's larger neighbours on the smallest one (large star), then its smaller ones
     (small star), until nothing changes: all edges then lead to the smallest node of their component.  Rounds
-    grow with the logarithm of the size; each is written to the checkpoint folder.  Null ends and loops count
-    for nothing."""
+    grow with the logarithm of the size; each is written to the checkpoint folder.  Least neighbours are found
+    with partial aggregation, and both sides of each join are shuffles of their own, so that Spark can split the
+    partition of a hub.  Null ends and loops count for nothing."""
     now = cut(edges.select("a", "b").where("a <> b").distinct())
     for _ in range(ROUNDS):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        least = smallest(both, F.least("a", F.min("b")))
+        large = both.where("b > a").join(least, F.col("a") == F.col("node")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         # now a > b in each row
-        small = large.groupBy("a").agg(F.min("b").alias("m"))
         ends = F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b"))))
-        now = cut(large.join(small, "a").select(ends.alias("e")).select("e.*").where("a <> b").distinct())
+        now = cut(large.join(smallest(large, F.min("b")), F.col("a") == F.col("node")).select(ends.alias("e")).select("e.*").where("a <> b").distinct())
         # done when it is a forest of stars: no end b is an a, and each a has one b
         twice = now.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a")
         inner = now.select("b").join(now.select(F.col("a").alias("b")), "b", "left_semi")
@@ -41,7 +46,8 @@ def components(edges: DataFrame) -> DataFrame:
 def shared_key_components(df: DataFrame, node: str, key: str) -> DataFrame:
     """Components of nodes that share a key: each is tied to the least of its key, so a key of many nodes makes as many edges."""
     pairs = df.select(F.col(node).alias("a"), F.col(key).alias("k")).where("a IS NOT NULL AND k IS NOT NULL").distinct()
-    edges = pairs.join(pairs.groupBy("k").agg(F.min("a").alias("b")), "k").select("a", "b")
+    least = pairs.groupBy("k").agg(F.min("k").alias("key"), F.min("a").alias("b")).select("key", "b")
+    edges = pairs.join(least, F.col("k") == F.col("key")).select("a", "b")
     found = components(edges).withColumnRenamed("node", node)
     return df.select(node).distinct().join(found, node, "left").select(node, F.coalesce("component", node).alias("component"))
 

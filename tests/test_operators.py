@@ -199,3 +199,28 @@ def test_bootstrap_bounds_are_sorted_places_and_null_if_mostly_undefined(spark):
     assert metrics.bootstrap_interval(df, metrics.auroc, ["auroc"]).where(F.col("lower").between(0, area) & F.col("upper").between(area, 1)).count() == 1
     one_class = metrics.bootstrap_interval(df.where("label"), metrics.auroc, ["auroc"]).first()
     assert (one_class.defined, one_class.lower, one_class.upper) == (0, None, None)
+
+
+def test_components_of_a_hub(spark):
+    from palimpsest.operators.graph import components
+
+    edges = spark.range(1, 5000).selectExpr("id a", "0L b").unionByName(spark.range(5000, 5100).selectExpr("id a", "id + 1 b"))
+    got = {r.node: r.component for r in components(edges).collect()}
+    assert got == {**dict.fromkeys(range(5000), 0), **dict.fromkeys(range(5000, 5101), 5000)}
+
+
+def test_checkpoint_folder(spark, monkeypatch):
+    from palimpsest import cluster
+
+    assert cluster.checkpoint_dir(spark) == cluster.checkpoint_dir(spark)
+
+    class Context:
+        master = "spark://host:7077"
+        _jsc = type("J", (), {"sc": staticmethod(lambda: type("S", (), {"getCheckpointDir": staticmethod(lambda: type("O", (), {"isDefined": staticmethod(lambda: False)}))}))})
+
+    class Session:
+        sparkContext = Context
+        conf = type("C", (), {"get": staticmethod(lambda name, default: default)})
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        cluster.checkpoint_dir(Session)
