@@ -361,3 +361,57 @@ def test_archive_notices_damage(spark, tmp_path):
     spark.createDataFrame([(hashlib.sha256(b"text").hexdigest(), b"other")], "key string, body binary").write.mode("overwrite").parquet(f"{folder}/payloads")
     with pytest.raises(Exception, match="payload is damaged"):
         warc.read_summary(spark, folder, "page_id").collect()
+
+
+def random_pair(rng, percent, size):
+    """Two sets of about this size exactly at the threshold."""
+    import numpy as np
+
+    a, b = size, rng.randint(size, size * 100 // percent)
+    both = -(-percent * (a + b) // (100 + percent))
+    pool = np.array([rng.getrandbits(64) for _ in range(a + b - both)], np.uint64)
+    return np.sort(pool[:a]), np.sort(np.concatenate([pool[:both], pool[a:]])), both
+
+
+@pytest.mark.parametrize("percent", [50, 55, 60, 70, 80, 85, 90, 95])
+def test_linked_sets_share_a_signature(percent):
+    import numpy as np
+
+    rng, bands, pairs = random.Random(percent), partenum.Bands(percent), 0
+    for size, times in ((1, 20), (2, 20), (7, 100), (20, 200), (50, 300), (70, 200), (120, 100), (300, 60), (700, 20), (1500, 10)):
+        for _ in range(times):
+            a, b, both = random_pair(rng, percent, size)
+            if both <= len(a) and not np.array_equal(a, b):
+                pairs += 1
+                assert len(np.intersect1d(partenum.signatures(a, bands), partenum.signatures(b, bands))), (size, len(b))
+    assert pairs > 600
+
+
+@pytest.mark.parametrize(("counts", "sparse"), [(partenum.COUNTS, partenum.SPARSE), (9, 0.0), (9, 1e9)])
+def test_linked_against_all_pairs(monkeypatch, counts, sparse):
+    import numpy as np
+
+    monkeypatch.setattr(partenum, "COUNTS", counts)
+    monkeypatch.setattr(partenum, "SPARSE", sparse)
+    rng = random.Random(4)
+    for trial in range(60):
+        percent, n, base = rng.choice([50, 80, 90]), rng.randint(0, 40), [rng.getrandbits(64) for _ in range(rng.choice([8, 30, 120]))]
+        sets = [np.array(sorted({x for x in base if rng.random() < rng.choice([0.5, 0.97, 1])} | {rng.getrandbits(64) for _ in range(rng.randint(0, 2))} or {1}), np.uint64) for _ in range(n)]
+        copies, side = np.array([rng.randint(1, 3) for _ in sets]), np.array([rng.randint(0, 1) for _ in sets]) if trial % 2 else None
+        links, root = [0] * n, list(range(n))
+        for i in range(n):
+            for j in range(i):
+                both = len(np.intersect1d(sets[i], sets[j]))
+                if (side is None or side[i] != side[j]) and 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                    links[i], links[j] = links[i] + copies[j], links[j] + copies[i]
+                    root = [min(root[i], root[j]) if x in (root[i], root[j]) else x for x in root]
+        group, found = partenum.linked(sets, percent, copies, side)
+        assert (group.tolist(), found.tolist()) == (root, links)
+
+
+def test_jaccard_of_a_large_template(spark):
+    """Texts of 23 words that differ in the last one or two all link or not by the shared shingles; every pair counts, and none is listed."""
+    start = " ".join(f"w{k}" for k in range(22))
+    df = spark.range(20_000).selectExpr("id doc_id", f"concat('{start} x', cast(id % 19000 as string)) text")
+    got = partenum.jaccard_components(df, n=3, percent=90, most=4000).agg(F.min("component_id"), F.max("component_id"), F.min("n_links"), F.max("n_links")).first()
+    assert tuple(got) == (0, 0, 19_999, 19_999)
