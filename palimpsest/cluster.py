@@ -84,6 +84,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """The name, with as many underscores before it as none of the columns has (case doesn't count)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def map_arrow(df: DataFrame, run: Callable, schema: T.StructType | str, rows: int = 1024, size: int = 8 << 20, task: bool = False) -> DataFrame:
     """mapInArrow in slices of at most so many rows, and of about so many bytes where one row isn't larger.
 
