@@ -9,13 +9,16 @@ equal windows the least document is known: in all larger ones the window is a re
 What travels: first only (minimiser, document, start, length).  Super-k-mers whose
 minimiser occurs in one document hold no repeat and stay behind; the others are packed.
 Documents with equal word sequences are one class before that: the least stands for
-all, and the others are repeats throughout.  A bucket of more than ``hot`` super-k-mers
-(a passage in very many documents) is not given to one task: its windows travel one by
-one as 128-bit digests, and Spark's partial aggregation finds the least document.
+all, and the others are repeats throughout.  A bucket of more than ``hot`` words (a passage in
+very many documents, or one word over and over) is not given to one task: its windows travel
+one by one as 128-bit digests, and Spark's partial aggregation finds the least document.
+Rows of one minimiser or digest meet their least in joins whose sides are shuffles of their
+own, so that Spark can split the partition of a frequent one.
 
 Defined results: null text has no words; texts shorter than a window are kept whole;
 windows of one document are no repeats of each other; rows with a null key are kept
-whole; repeated rows give repeated results (keys are otherwise taken to be unique).
+whole; repeated rows give repeated results (keys are otherwise taken to be unique); an empty
+table gives no rows; other columns stay, but for those named as the new ones.
 """
 
 from __future__ import annotations
@@ -26,12 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
-from palimpsest.cluster import cut, map_arrow
+from palimpsest.cluster import cut, map_arrow, unused
 from palimpsest.llm.words import grams, hashes
 
 GRAM = 8
-#: Super-k-mers of a bucket that one task sorts.
-HOT = 4000
+#: Words of a bucket's super-k-mers that one task sorts.
+HOT = 100_000
 
 
 def runs(h: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -180,15 +183,15 @@ def sorted_buckets(rows: DataFrame, window: int) -> DataFrame:
 def repeats(docs: DataFrame, window: int, gram: int, hot: int) -> DataFrame:
     """Rows (id, ranges) of the word ranges that repeat, of rows (id, text) without null ids."""
     rows = cut(scanned(docs, window, gram))
-    heads = rows.groupBy("digest").agg(F.min("id").alias("id"))
-    copies = rows.where(F.col("n_words") >= window).select("digest", "id", "n_words").join(heads.withColumnRenamed("id", "rep"), "digest").where("id > rep")
-    kmers = rows.join(heads, ["digest", "id"], "left_semi").select("id", F.explode("kmers").alias("k")).select("k.mini", "id", "k.start", "k.n").repartition("mini")
-    shared = kmers.groupBy("mini").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("rows")).where("lo < hi").select("mini", (F.col("rows") > hot).alias("hot"))
-    asks = cut(kmers.join(shared, "mini").groupBy("id", "hot").agg(F.collect_list(F.struct("mini", "start", "n")).alias("kmers")))
+    heads = rows.groupBy("digest").agg(F.min("id").alias("rep")).select(F.substring("digest", 1, 16).alias("d"), "rep")
+    copies = rows.where(F.col("n_words") >= window).select("digest", "id", "n_words").join(heads, F.col("digest") == F.col("d")).where("id > rep")
+    kmers = rows.join(heads.select("rep"), F.col("id") == F.col("rep"), "left_semi").select("id", F.explode("kmers").alias("k")).select("k.mini", "id", "k.start", "k.n")
+    shared = kmers.groupBy("mini").agg(F.min("mini").alias("m"), F.min("id").alias("lo"), F.max("id").alias("hi"), F.sum(F.col("n") + (window - 1)).alias("words")).where("lo < hi").select("m", (F.col("words") > hot).alias("hot"))
+    asks = cut(kmers.join(shared, F.col("mini") == F.col("m")).groupBy("id", "hot").agg(F.collect_list(F.struct("mini", "start", "n")).alias("kmers")))
     found = sorted_buckets(packed(docs.join(asks.where("NOT hot"), "id"), window), window)
     single = unpacked(docs.join(asks.where("hot"), "id"), window)
-    first = single.groupBy("digest").agg(F.min("id").alias("lo"))
-    single = single.join(first, "digest").where("id > lo").select("id", F.col("start").alias("first"), (F.col("start") + window).alias("end"))
+    first = single.groupBy("digest").agg(F.min("id").alias("lo")).select(F.substring("digest", 1, 16).alias("d"), "lo")
+    single = single.join(first, F.col("digest") == F.col("d")).where("id > lo").select("id", F.col("start").alias("first"), (F.col("start") + window).alias("end"))
     whole = copies.select("id", F.lit(0).alias("first"), F.col("n_words").cast("int").alias("end"))
     return found.union(single).union(whole).groupBy("id").agg(F.collect_list(F.struct("first", "end")).alias("ranges"))
 
@@ -200,8 +203,9 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     rows = docs.select(*other)
     known = rows.where(F.col(key).isNotNull())
     found = repeats(known.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")), window, gram, hot)
-    known = known.join(found.select(F.col("id").alias(key), F.col("ranges").alias("__ranges")), key, "left").select(*other, "__ranges")
-    rows = known.union(rows.where(F.col(key).isNull()).withColumn("__ranges", F.lit(None).cast("array<struct<first: int, end: int>>")))
+    ranges = unused("ranges", other)
+    known = known.join(found.select(F.col("id").alias(key), F.col("ranges").alias(ranges)), key, "left").select(*other, ranges)
+    rows = known.union(rows.where(F.col(key).isNull()).withColumn(ranges, F.lit(None).cast("array<struct<first: int, end: int>>")))
     at = other.index(text)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -51,7 +51,7 @@ def by_id(df, key="doc_id"):
     return {r[key]: r for r in df.collect()}
 
 
-@pytest.mark.parametrize("hot", [4000, 2])
+@pytest.mark.parametrize("hot", [substring.HOT, 150])
 def test_substring(docs, hot):
     got = by_id(substring.remove_repeats(docs, hot=hot))
     lists = {i: words(t) for i, t in corpus()}
