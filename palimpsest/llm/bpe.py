@@ -13,8 +13,17 @@ sees over it, so a chunk always encodes the same way; a batch therefore
 encodes each distinct chunk once, and a task keeps the ids of the words it has
 met (emptied beyond ``KEPT_WORDS`` words, which costs time, never results).
 
+A long word (a sequence, a minified file, a text without spaces) is cut into pieces, which
+are encoded apart; then neighbours are joined, half as many pieces each time.  Tokens are the
+encoding of a text exactly if each two neighbours are that of their own text: the first
+contraction over a border between two of them would also be made there.  So a window of tokens
+around the seam is encoded anew, until its outermost tokens stay as they were, for then all
+pairs are ones that were right before, or are inside the window.  Memory and time are
+proportional to the word's length.
+
 Defined results: null text is the empty text, it has no tokens; repeated rows
-are encoded each; further columns are kept by ``encode`` and ``decode``.
+are encoded each; further columns are kept by ``encode`` and ``decode``, but for one
+named as the new one; an empty table gives no rows; ids of any size below 2**31.
 """
 
 from __future__ import annotations
@@ -32,10 +41,16 @@ from pyspark.sql import types as T
 
 from palimpsest.cluster import broadcast_once, map_arrow
 
-#: Words whose ids a task keeps; bytes given to one recursive query; longest word of the leftmost-only query (keys hold positions in 6 bits).
+#: Words whose ids a task keeps; rows over all steps that one recursive query may make, about; longest word of the leftmost-only query (keys hold positions in 6 bits).
 KEPT_WORDS = 400_000
-BATCH_BYTES = 400_000
+BATCH_ROWS = 2_000_000
 LONG_WORD = 63
+#: Bytes of a piece of a long word; tokens on each side of a seam that are encoded anew at first; ids that one query decodes.
+PIECE = 32
+REACH = 4
+DECODED = 500_000
+#: Memory that a worker's database may take; it never writes to a disk.
+MEMORY = "700MB"
 
 # Chunk borders; Python's white space contains the pattern's.
 BORDER = re.compile(r"(?<=\S)(?=\s\S)")
@@ -51,7 +66,7 @@ WITH RECURSIVE s AS (
             FROM (
                 SELECT *, lead(pos) OVER o AS npos, CASE WHEN lead(w) OVER o = w THEN lead(tok) OVER o END AS nxt
                 FROM s WINDOW o AS (ORDER BY w * 64 + pos)
-            ) p LEFT JOIN merges m ON m.pair = p.tok * 65536::BIGINT + p.nxt
+            ) p LEFT JOIN merges m ON m.pair = p.tok * 4294967296::BIGINT + p.nxt
         ),
         best AS (SELECT w, min(key) AS key FROM pairs WHERE key IS NOT NULL GROUP BY w)
         SELECT p.w, p.pos, CASE WHEN p.pos = best.key % 64 THEN p.rank ELSE p.tok END, p.it + 1
@@ -61,7 +76,7 @@ WITH RECURSIVE s AS (
 )
 """
 
-# For long words: all occurrences of the least rank at once, every second one of
+# For windows of long words: all occurrences of the least rank at once, every second one of
 # those that overlap.  A rank marked risky can make a pair of lower rank, which
 # must come before its further occurrences, so only the leftmost is contracted.
 LONG = """
@@ -82,7 +97,7 @@ WITH RECURSIVE s AS (
                         SELECT p.w, p.pos, p.tok, p.it, p.place, m.rank, m.risky
                         FROM (SELECT *, lead(tok) OVER (PARTITION BY w ORDER BY pos) AS nxt,
                                 row_number() OVER (PARTITION BY w ORDER BY pos) AS place FROM s) p
-                        LEFT JOIN merges m ON m.pair = p.tok * 65536::BIGINT + p.nxt
+                        LEFT JOIN merges m ON m.pair = p.tok * 4294967296::BIGINT + p.nxt
                     )
                 )
                 WHERE best IS NOT NULL
@@ -119,7 +134,7 @@ def merge_table(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.nda
                 rank.append(k)
     a, b, k = (np.array(x, dtype=np.int64) for x in (left, right, rank))
     risky = np.union1d(a[k < a], b[k < b])
-    return a * 65536 + b, k, np.isin(k, risky)
+    return (a << 32) + b, k, np.isin(k, risky)
 
 
 class Codec:
@@ -130,9 +145,10 @@ class Codec:
 
         self.ranks = parse_ranks(data)
         self.words = regex.compile(pattern).findall
+        self.bytes = {k: token for token, k in self.ranks.items()}
         self.known: dict[str, bytes] = {}
         self.first = np.array([self.ranks[bytes([i])] for i in range(256)], dtype=np.int32)
-        self.db = duckdb.connect(config={"threads": 1, "temp_directory": "", "preserve_insertion_order": "false"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": MEMORY, "temp_directory": "", "preserve_insertion_order": "false"})
         pair, rank, risky = merge_table(self.ranks)
         self._put("merges", pair=pair, rank=rank.astype(np.int32), risky=risky)
         self._put("vocab", id=np.array(list(self.ranks.values()), np.int32), bytes=list(self.ranks))
@@ -165,12 +181,47 @@ class Codec:
                 out[i] = k.to_bytes(4, "little")
             else:
                 todo[len(w) > LONG_WORD].append(i)
-        for long, rows in todo.items():
-            for batch in _parts(rows, [len(words[i]) for i in rows], BATCH_BYTES):
+        for rows, encoded in ((todo[False], self._apart), (todo[True], self._stitched)):
+            for i, ids in zip(rows, encoded([words[i] for i in rows]), strict=True):
+                out[i] = ids
+        return out
+
+    def _apart(self, words: list[bytes]) -> list[bytes]:
+        """The ids of words, in queries of a bounded number of rows."""
+        out: list = [None] * len(words)
+        for long in (False, True):
+            rows = [i for i, w in enumerate(words) if (len(w) > LONG_WORD) == long]
+            for batch in _parts(rows, [len(words[i]) * (len(words[i]) // 2 + 1) for i in rows], BATCH_ROWS):
                 for i, ids in zip(batch, self._merge([words[i] for i in batch], LONG if long else SHORT), strict=True):
                     out[i] = ids
         return out
 
+    def _stitched(self, words: list[bytes]) -> list[bytes]:
+        """The ids of long words, from those of pieces."""
+        pieces = [[w[k : k + PIECE] for k in range(0, len(w), PIECE)] for w in words]
+        ids = iter(self._apart([p for ps in pieces for p in ps]))
+        parts = [[_numbers(next(ids)) for _ in ps] for ps in pieces]
+        while any(len(p) > 1 for p in parts):
+            joined = iter(self._joined([(p[k], p[k + 1]) for p in parts for k in range(0, len(p) - 1, 2)]))
+            parts = [[next(joined) if k + 1 < len(p) else p[k] for k in range(0, len(p), 2)] for p in parts]
+        return [np.array(p[0], "<u4").tobytes() for p in parts]
+
+    def _joined(self, pairs: list[tuple[list[int], list[int]]]) -> list[list[int]]:
+        """The ids of two texts' concatenation, from the ids of both."""
+        out: list = [None] * len(pairs)
+        todo, reach = list(range(len(pairs))), REACH
+        while todo:
+            windows = [(pairs[i][0][-reach:], pairs[i][1][:reach]) for i in todo]
+            again = []
+            for i, (a, b), ids in zip(todo, windows, self._apart([b"".join([self.bytes[t] for t in a + b]) for a, b in windows]), strict=True):
+                (left, right), new = pairs[i], _numbers(ids)
+                if (len(a) == len(left) or new[0] == a[0]) and (len(b) == len(right) or new[-1] == b[-1]):
+                    out[i] = left[: len(left) - len(a)] + new + right[len(b) :]
+                else:
+                    again.append(i)
+            todo, reach = again, 2 * reach
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit integers."""
         usual = [bool(t) and not UNUSUAL.search(t) for t in texts]
@@ -202,7 +253,7 @@ class Codec:
     def decode(self, ids: list[bytes]) -> list[bytes]:
         """The bytes of each text's ids."""
         out = []
-        for batch in _parts(ids, [len(i) for i in ids], 5 * BATCH_BYTES):
+        for batch in _parts(ids, [len(i) // 4 for i in ids], DECODED):
             toks = np.frombuffer(b"".join(batch), "<u4")
             if not len(toks):
                 out += [b""] * len(batch)
@@ -218,6 +269,10 @@ class Codec:
         return out
 
 
+def _numbers(ids: bytes) -> list[int]:
+    return np.frombuffer(ids, "<u4").tolist()
+
+
 def _parts(rows: list, sizes: list[int], most: int):
     """The rows in runs of at most so much, or of one row."""
     batch, total = [], 0
@@ -238,7 +293,6 @@ def codec(data: bytes, pattern: str) -> Codec:
     """This worker's codec; tasks that run one after another in a worker share it."""
     key = hashlib.sha256(data + pattern.encode()).hexdigest()
     if key not in _CODECS:
-        gc.disable()  # the many words that it keeps are in no cycles, but each collection would visit them
         _CODECS[key] = Codec(data, pattern)
     return _CODECS[key]
 
@@ -288,6 +342,7 @@ def digests(df: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", t
 
     def start():
         c = codec(ranks.value, pattern)
+        gc.disable()  # the many words that it keeps are in no cycles, but each collection would visit them
 
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
             ids = c.encode([t or "" for t in batch.column(1).to_pylist()])
@@ -301,7 +356,11 @@ def digests(df: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", t
                 names=[key, "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
-        run.close = c.forget
+        def close() -> None:
+            c.forget()
+            gc.enable()
+
+        run.close = close
         return run
 
     schema = T.StructType([df.schema[key], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])

@@ -415,3 +415,43 @@ def test_jaccard_of_a_large_template(spark):
     df = spark.range(20_000).selectExpr("id doc_id", f"concat('{start} x', cast(id % 19000 as string)) text")
     got = partenum.jaccard_components(df, n=3, percent=90, most=4000).agg(F.min("component_id"), F.max("component_id"), F.min("n_links"), F.max("n_links")).first()
     assert tuple(got) == (0, 0, 19_999, 19_999)
+
+
+@pytest.mark.parametrize(
+    ("alphabet", "n"),
+    [("abcdefghijklmnopqrstuvwxyz", 200_000), ("".join(map(chr, range(0x4E00, 0x9FA5))), 100_000), ("0123456789", 100_000), ("ACGT", 100_000), ("=_-+", 50_000), ("aé日", 20_000), ("ab", 700), ("z", 30_001)],
+)
+def test_bpe_of_long_words(alphabet, n):
+    import time
+
+    import numpy as np
+
+    path, pattern = queries.tokenizer()
+    with open(path, "rb") as f:
+        codec = bpe.Codec(f.read(), pattern)
+    rng, begun = random.Random(n), time.time()
+    texts = ["".join(rng.choice(alphabet) for _ in range(n)), (alphabet * (n // len(alphabet) + 1))[:n]]
+    got = codec.encode(texts)
+    assert time.time() - begun < 60
+    for t, ids in zip(texts, got, strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == tiktoken_encode(t)
+
+
+def test_bpe_with_ids_above_16_bits(tmp_path):
+    import numpy as np
+    import tiktoken
+
+    ranks = {bytes([k]): 70_000 + k for k in range(256)} | {b"ab": 100_000, b"cab": 100_001, b"abab": 200_000, b" c": 200_001}
+    data = b"\n".join(base64.b64encode(t) + b" %d" % k for t, k in ranks.items())
+    codec = bpe.Codec(data, queries.tokenizer()[1])
+    library = tiktoken.Encoding("test", pat_str=queries.tokenizer()[1], mergeable_ranks=ranks, special_tokens={})
+    for t in ["ababab cabab", "cab" * 40, "", "ab" * 101]:
+        assert np.frombuffer(codec.encode([t])[0], "<u4").tolist() == library.encode_ordinary(t)
+        assert codec.decode(codec.encode([t])) == [t.encode()]
+
+
+def test_bpe_leaves_the_collector_on(spark, docs):
+    import gc
+
+    bpe.digests(docs, *queries.tokenizer()).count()
+    assert set(docs.mapInPandas(lambda frames: (__import__("pandas").DataFrame({"on": [gc.isenabled()]}) for _ in frames), "on boolean").toPandas()["on"]) == {True}
