@@ -135,7 +135,7 @@ def classes(docs: DataFrame, key: str, text: str, n: int, percent: int) -> DataF
 
 #: Sets that a task remembers, so that copies in one task give their signatures once; signatures that it holds to tie those that are equal.
 SEEN = 1_000_000
-HELD = 1_500_000
+HELD = 400_000
 
 
 def _ties(sig: np.ndarray, node: np.ndarray, head: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

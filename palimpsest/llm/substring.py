@@ -34,7 +34,7 @@ from palimpsest.llm.words import grams, hashes
 
 GRAM = 8
 #: Words of a bucket's super-k-mers that one task sorts.
-HOT = 100_000
+HOT = 250_000
 
 
 def runs(h: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
