@@ -3,11 +3,19 @@
 The decoder reads GIF87a/89a: sub-blocks, LZW code streams of any code width, global and
 local palettes, interlacing, transparency and the disposal rules; it gives timed frames
 as they appear on the canvas.  The encoder stores samples as colour numbers of a grey
-palette; its LZW streams send each sample as a 9-bit literal and clear the table before
-codes would widen, so both directions are array operations.
-
-Defined results: null media have no frames; media that are cut off or not GIF give an
-``error`` text instead of frames; empty samples are one frame of zeros.
+palette, in LZW streams with a table and codes that widen.
+
+Encoding: the streams of many frames are coded in step, sample by sample; each has its own
+hash table of (code, sample).  Frames are so small that no table fills up.  Decoding: between
+two clear codes the width of a code follows from its place, so all codes are read at once.
+The table's entry that the code of place j made is that code's samples and the one after
+them, which lie side by side in the output; so each output sample points to an earlier one
+or is a literal, and the pointers are followed for all samples together.
+
+Defined results: null media have no frames; media that are cut off, not GIF, or larger than
+``CANVAS`` samples give an ``error`` text instead of frames; empty samples are one frame of
+zeros; repeated rows are stored and read each; long samples become many frames; an empty
+table gives no rows; other columns stay, but for those named as the new ones.
 """
 
 from __future__ import annotations
@@ -24,13 +32,14 @@ from pyspark.sql import types as T
 from palimpsest.cluster import map_arrow
 
 WIDTH = 64
-#: Rows of a frame; longer samples become several frames.
-ROWS = 4096
+#: Rows of a frame; longer samples become several frames.  A stream of so many samples has fewer codes than the table has places.
+ROWS = 56
+#: Samples of a canvas or frame that is read at most; frames that are coded in step.
+CANVAS = 1 << 26
+LANES = 512
 DELAY = 10
 GREY = np.repeat(np.arange(256, dtype=np.uint8)[:, None], 3, axis=1)
 BINS = 8
-#: Literals between two clear codes: one less than would widen the codes.
-RUN = 254
 
 
 @dataclass
@@ -46,16 +55,61 @@ class Frame:
     palette: np.ndarray
 
 
-def literal_stream(samples: np.ndarray) -> bytes:
-    """LZW code stream of 8-bit samples, without repeats."""
-    n = len(samples)
-    codes = np.full(n + -(-n // RUN) + 1, 256, np.uint16)
-    at = np.arange(n)
-    codes[at + at // RUN + 1] = samples
-    codes[-1] = 257
-    pad = -len(codes) % 8
-    bits = np.unpackbits(np.append(codes, np.zeros(pad, np.uint16)).astype("<u2").view(np.uint8).reshape(-1, 2), axis=1, bitorder="little")[:, :9]
-    return np.packbits(bits, bitorder="little").tobytes()[: -(-9 * len(codes) // 8)]
+def widths(n: int, least: int) -> np.ndarray:
+    """Bits of each of n codes after a clear code; at its turn, each code but the first two finds one more entry than the one before."""
+    size = np.maximum(np.arange(n) - 1, 0) + (1 << least) + 2
+    return np.clip(np.ceil(np.log2(size + 1)).astype(np.int64), least + 1, 12)
+
+
+def codes_of(streams: list[np.ndarray]) -> list[np.ndarray]:
+    """The LZW codes of streams of 8-bit samples, without clear and stop codes; none is longer than ROWS * WIDTH."""
+    out: list = [None] * len(streams)
+    order = sorted(range(len(streams)), key=lambda k: -len(streams[k]))
+    for begin in range(0, len(order), LANES):
+        lanes = order[begin : begin + LANES]
+        lengths = np.array([len(streams[k]) for k in lanes])
+        longest = int(lengths[0])
+        samples = np.zeros((longest, len(lanes)), np.uint32)
+        for j, k in enumerate(lanes):
+            samples[: lengths[j], j] = streams[k]
+        room = 1 << max(4, (2 * longest - 1).bit_length())
+        shift = np.uint32(33 - room.bit_length())
+        # entries are 12 bits of code, 8 of the sample, 12 of the new code; 0 is free
+        table = np.zeros(len(lanes) * room, np.uint32)
+        base = np.arange(len(lanes), dtype=np.int64) * room
+        found = np.zeros((longest + 1, len(lanes)), np.uint16)
+        made = np.zeros(len(lanes), np.int64)
+        now = samples[0].copy()
+        alive = np.searchsorted(-lengths, -np.arange(longest), "left")
+        for t in range(1, longest):
+            n = int(alive[t])
+            key = now[:n] << np.uint32(8) | samples[t, :n]
+            at = base[:n] + (key * np.uint32(2654435769) >> shift)
+            entry = table[at]
+            other = np.flatnonzero((entry != 0) & (entry >> np.uint32(12) != key))
+            while len(other):
+                at[other] = base[other] + ((at[other] + 1) & (room - 1))
+                entry[other] = got = table[at[other]]
+                other = other[(got != 0) & (got >> np.uint32(12) != key[other])]
+            new = np.flatnonzero(entry == 0)
+            place = made[new]
+            found[place, new] = now[new]
+            table[at[new]] = key[new] << np.uint32(12) | (place + 258).astype(np.uint32)
+            made[new] = place + 1
+            now[:n] = entry & np.uint32(4095)
+            now[new] = samples[t, new]
+        found[made, np.arange(len(lanes))] = now
+        for j, k in enumerate(lanes):
+            out[k] = found[: made[j] + 1, j]
+    return out
+
+
+def packed(codes: np.ndarray) -> bytes:
+    """The stream of a clear code, codes of 8-bit samples and the stop code."""
+    every = np.concatenate([[256], codes, [257]]).astype(np.uint16)
+    bits = np.append(9, widths(len(codes) + 1, 8))
+    all_bits = np.unpackbits(every.astype("<u2").view(np.uint8).reshape(-1, 2), axis=1, bitorder="little")[:, :12]
+    return np.packbits(all_bits[np.arange(12) < bits[:, None]], bitorder="little").tobytes()
 
 
 def sub_blocks(data: bytes) -> bytes:
@@ -69,80 +123,111 @@ def sub_blocks(data: bytes) -> bytes:
 
 def encode(frames: list[Frame], width: int, height: int) -> bytes:
     """A GIF89a file; frames whose palette is the first one's use the global palette."""
+    return encode_all([(frames, width, height)])[0]
+
+
+def encode_all(files: list[tuple[list[Frame], int, int]]) -> list[bytes]:
+    """GIF89a files; larger frames are cut into streams that the table holds, with a clear code before each."""
+    pieces = [[[p.ravel()[k : k + ROWS * WIDTH] for k in range(0, p.size, ROWS * WIDTH)] for p in (f.pixels for f in frames)] for frames, _, _ in files]
+    codes = iter(codes_of([piece for file in pieces for frame in file for piece in frame]))
+    return [_file(frames, width, height, [[next(codes) for _ in frame] for frame in file]) for (frames, width, height), file in zip(files, pieces, strict=True)]
+
+
+def _file(frames: list[Frame], width: int, height: int, codes: list[list[np.ndarray]]) -> bytes:
     first = frames[0].palette
     out = [b"GIF89a", struct.pack("<HHBBB", width, height, 0xF7, 0, 0), first.tobytes()]
-    for f in frames:
+    for f, streams in zip(frames, codes, strict=True):
         flags = f.disposal << 2 | (f.transparent is not None)
         out.append(b"\x21\xf9\x04" + struct.pack("<BHB", flags, f.delay, f.transparent or 0) + b"\0")
         own = f.palette is not first and not np.array_equal(f.palette, first)
         h, w = f.pixels.shape
         out.append(b"\x2c" + struct.pack("<HHHHB", f.left, f.top, w, h, 0x87 if own else 0) + (f.palette.tobytes() if own else b"") + b"\x08")
-        out.append(sub_blocks(literal_stream(f.pixels.ravel())))
+        out.append(sub_blocks(packed(streams[0]) if len(streams) == 1 else _cleared(streams)))
     return b"".join(out) + b"\x3b"
 
 
-def of_samples(data: bytes) -> bytes:
-    """The GIF of bytes, whose number is a positive multiple of WIDTH."""
-    pixels = np.frombuffer(data, np.uint8).reshape(-1, WIDTH)
-    frames = [Frame(0, 0, DELAY, 1, None, pixels[k : k + ROWS], GREY) for k in range(0, len(pixels), ROWS)]
-    return encode(frames, WIDTH, min(len(pixels), ROWS))
-
-
-def _literals(data: bytes) -> np.ndarray | None:
-    """The samples of a stream of 9-bit literals and clear codes; None for all other streams."""
-    n = len(data) * 8 // 9
-    bits = np.unpackbits(np.frombuffer(data, np.uint8), bitorder="little")[: n * 9].reshape(n, 9)
-    codes = np.packbits(bits[:, :8], axis=1, bitorder="little")[:, 0].astype(np.uint16) | bits[:, 8].astype(np.uint16) << 8
-    end = np.flatnonzero(codes == 257)
-    if not len(end) or codes[0] != 256:
-        return None
-    codes = codes[: end[0]]
-    if (codes > 257).any() or (np.diff(np.append(np.flatnonzero(codes == 256), len(codes))) > 255).any():
-        return None
-    return codes[codes < 256].astype(np.uint8)
+def _cleared(streams: list[np.ndarray]) -> bytes:
+    """One stream of several, each after a clear code of the width that the one before has come to."""
+    bits, every = [np.array([9])], [np.array([256])]
+    for codes in streams:
+        bits.append(widths(len(codes) + 1, 8))
+        every += [codes, np.array([256])]
+    every[-1] = np.array([257])
+    every, bits = np.concatenate(every).astype(np.uint16), np.concatenate(bits)
+    all_bits = np.unpackbits(every.astype("<u2").view(np.uint8).reshape(-1, 2), axis=1, bitorder="little")[:, :12]
+    return np.packbits(all_bits[np.arange(12) < bits[:, None]], bitorder="little").tobytes()
+
+
+def of_samples(many: list[bytes]) -> list[bytes]:
+    """The GIFs of bytes, whose number is a positive multiple of WIDTH."""
+    files = []
+    for data in many:
+        pixels = np.frombuffer(data, np.uint8).reshape(-1, WIDTH)
+        files.append(([Frame(0, 0, DELAY, 1, None, pixels[k : k + ROWS], GREY) for k in range(0, len(pixels), ROWS)], WIDTH, min(len(pixels), ROWS)))
+    return encode_all(files)
+
+
+def _codes(bits: np.ndarray, at: int, least: int) -> tuple[np.ndarray, int | None, bool]:
+    """The codes from a bit on up to a clear or stop code; the bit after that, or None where the data end first; whether it was a clear code.
+
+    Reads a block of codes at a time, as many as a full table, then twice as many each time."""
+    clear, found, begin, block = 1 << least, [], 0, 4096
+    while True:
+        width = widths(begin + block, least)[begin:]
+        ends = at + np.cumsum(width)
+        fits = int(np.searchsorted(ends, len(bits), "right"))
+        place = (ends - width)[:fits, None] + np.arange(12)
+        codes = (bits[np.minimum(place, len(bits) - 1)].astype(np.int64) * (np.arange(12) < width[:fits, None])) @ (1 << np.arange(12)) if fits else np.empty(0, np.int64)
+        marks = np.flatnonzero((codes == clear) | (codes == clear + 1))
+        if len(marks):
+            return np.concatenate([*found, codes[: marks[0]]]), int(ends[marks[0]]), bool(codes[marks[0]] == clear)
+        found.append(codes)
+        if fits < block:
+            return np.concatenate(found), None, False
+        begin, at, block = begin + block, int(ends[-1]), 2 * block
+
+
+def _samples(codes: np.ndarray, least: int) -> np.ndarray:
+    """The samples of codes between two clear codes."""
+    n, literal = len(codes), codes < 1 << least
+    entry = np.where(literal, np.arange(n), codes - (1 << least) - 2)
+    if (entry > np.where(literal, n, np.arange(n) - 1)).any():
+        raise ValueError("bad code")
+    # a code's length is one more than that of the code that made its entry
+    length, back = np.where(literal, 0, 1), entry.copy()
+    while not literal[back].all():
+        length, back = length + length[back], back[back]
+    length += 1
+    start = np.cumsum(length) - length
+    total = int(length.sum())
+    if total > CANVAS + 4096:
+        raise ValueError("image data too long")
+    code = np.repeat(np.arange(n), length)
+    source = np.arange(total) - (start - start[entry])[code]
+    while True:
+        further = source[source]
+        if np.array_equal(further, source):
+            break
+        source = further
+    out = np.zeros(total, np.uint8)
+    out[start[literal]] = codes[literal]
+    return out[source]
 
 
 def lzw(data: bytes, least: int, size: int) -> np.ndarray:
-    """The samples of an LZW code stream."""
-    if least == 8 and (found := _literals(data)) is not None:
-        if len(found) < size:
-            raise ValueError("image data end early")
-        return found[:size]
-    clear, stop = 1 << least, (1 << least) + 1
-    fresh = [bytes([i]) for i in range(clear)] + [b"", b""]
-    table, width, last = list(fresh), least + 1, b""
-    out, total, held, have = [], 0, 0, 0
-    for byte in data:
-        held |= byte << have
-        have += 8
-        while have >= width:
-            code = held & ((1 << width) - 1)
-            held >>= width
-            have -= width
-            if code == clear:
-                table, width, last = list(fresh), least + 1, b""
-                continue
-            if code == stop or total >= size:
-                have = -1
-                break
-            if code < len(table):
-                now = table[code]
-            elif code == len(table) and last:
-                now = last + last[:1]
-            else:
-                raise ValueError("bad code")
-            if last and len(table) < 4096:
-                table.append(last + now[:1])
-                if len(table) == 1 << width and width < 12:
-                    width += 1
-            last = now
-            out.append(now)
-            total += len(now)
-        if have < 0:
-            break
+    """The first ``size`` samples of an LZW code stream."""
+    if not 1 <= least <= 8:
+        raise ValueError("bad code size")
+    bits = np.unpackbits(np.frombuffer(data, np.uint8), bitorder="little")
+    out, total, at, more = [], 0, 0, True
+    while more and at is not None and total < size and at < len(bits):
+        codes, at, more = _codes(bits, at, least)
+        if len(codes):
+            out.append(_samples(codes, least))
+            total += len(out[-1])
     if total < size:
         raise ValueError("image data end early")
-    return np.frombuffer(b"".join(out), np.uint8)[:size]
+    return np.concatenate([np.empty(0, np.uint8), *out])[:size]
 
 
 class Reader:
@@ -172,6 +257,8 @@ def parse(data: bytes) -> tuple[int, int, list[Frame]]:
     if r.take(6) not in (b"GIF87a", b"GIF89a"):
         raise ValueError("not a GIF")
     width, height, flags, _, _ = struct.unpack("<HHBBB", r.take(7))
+    if width * height > CANVAS:
+        raise ValueError("canvas too large")
     common = r.palette(flags) if flags & 0x80 else GREY
     frames, delay, disposal, transparent = [], 0, 0, None
     while (kind := r.take(1)) != b"\x3b":
@@ -184,6 +271,8 @@ def parse(data: bytes) -> tuple[int, int, list[Frame]]:
             left, top, w, h, f = struct.unpack("<HHHHB", r.take(9))
             palette = r.palette(f) if f & 0x80 else common
             least = r.take(1)[0]
+            if w * h > CANVAS:
+                raise ValueError("frame too large")
             pixels = lzw(r.blocks(), least, w * h).reshape(h, w)
             if f & 0x40:
                 order = np.concatenate([np.arange(a, h, b) for a, b in ((0, 8), (4, 8), (2, 4), (1, 2))])
@@ -236,10 +325,10 @@ def store(rows: DataFrame, payload: str, out: str = "media") -> DataFrame:
     at = names.index(payload)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        media = [of_samples((d or b"") + bytes(-len(d or b"") % WIDTH or (0 if d else WIDTH))) for d in batch.column(at).to_pylist()]
+        media = of_samples([(d or b"") + bytes(-len(d or b"") % WIDTH or (0 if d else WIDTH)) for d in batch.column(at).to_pylist()])
         return pa.RecordBatch.from_arrays([*batch.columns, pa.array(media, pa.binary())], names=[*names, out])
 
-    return map_arrow(rows, run, T.StructType([*rows.schema.fields, T.StructField(out, T.BinaryType())]), rows=256)
+    return map_arrow(rows, run, T.StructType([*rows.schema.fields, T.StructField(out, T.BinaryType())]), rows=2048)
 
 
 def read(rows: DataFrame, media: str = "media") -> DataFrame:
@@ -261,8 +350,8 @@ def read(rows: DataFrame, media: str = "media") -> DataFrame:
                 samples.append(part[..., 0].tobytes())
                 start += f.delay
             return frames, b"".join(samples), None
-        except (ValueError, struct.error) as e:
-            return None, None, str(e)
+        except (ValueError, struct.error, MemoryError) as e:
+            return None, None, str(e) or "too large"
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [one(d) for d in batch.column(at).to_pylist()]

@@ -192,8 +192,8 @@ def test_gif_round_trip(docs):
     assert got[30].media_sha256 == got[31].media_sha256 and got[30].feature == got[31].feature
 
 
-def compressed(samples, least):
-    """A plain LZW encoder, with codes that widen."""
+def compressed(samples, least, clears=True, first=True):
+    """A plain LZW encoder, with codes that widen; clears: also when the table is full; first: also at the start."""
     clear, stop = 1 << least, (1 << least) + 1
     bits, have, out = 0, 0, bytearray()
     table, width, now = {bytes([i]): i for i in range(clear)}, least + 1, b""
@@ -207,7 +207,8 @@ def compressed(samples, least):
             bits >>= 8
             have -= 8
 
-    put(clear)
+    if first:
+        put(clear)
     for s in samples:
         if now + bytes([s]) in table:
             now += bytes([s])
@@ -217,7 +218,7 @@ def compressed(samples, least):
             table[now + bytes([s])] = len(table) + 2
             if len(table) + 2 > 1 << width:
                 width += 1
-        else:
+        elif clears:
             put(clear)
             table, width = {bytes([i]): i for i in range(clear)}, least + 1
         now = bytes([s])
@@ -235,7 +236,32 @@ def test_lzw_of_widening_codes(least):
     rng = random.Random(least)
     samples = bytes(rng.choice([0, 1, 1, (1 << least) - 1]) if k % 50 else rng.randrange(1 << least) for k in range(30_000))
     assert gif.lzw(compressed(samples, least), least, len(samples)).tobytes() == samples
-    assert gif.lzw(gif.literal_stream(np.frombuffer(samples, np.uint8)), 8, len(samples)).tobytes() == samples
+    short = np.frombuffer(samples, np.uint8)[: gif.ROWS * gif.WIDTH]
+    codes = gif.codes_of([short, short[:1], short[:77]])
+    assert [gif.lzw(gif.packed(c), 8, len(s)).tobytes() for c, s in zip(codes, (short, short[:1], short[:77]), strict=True)] == [bytes(short), bytes(short[:1]), bytes(short[:77])]
+    assert gif.packed(codes[0]) == compressed(bytes(short), 8)
+    frame = gif.Frame(0, 0, 1, 1, None, np.frombuffer(samples, np.uint8).reshape(100, 300), gif.GREY)
+    assert gif.parse(gif.encode([frame], 300, 100))[2][0].pixels.tobytes() == samples
+
+
+def test_lzw_without_a_clear_code_and_beyond_a_full_table():
+    """A stream whose table is full goes on with 12-bit codes, and a stream needn't begin with a clear code."""
+    rng = random.Random(3)
+    samples = bytes(rng.randrange(256) for _ in range(9_000))
+    assert gif.lzw(compressed(samples, 8, clears=False), 8, len(samples)).tobytes() == samples
+    assert gif.lzw(compressed(b"\1\2\1\2\1\2\1", 8, first=False), 8, 7).tobytes() == b"\1\2\1\2\1\2\1"
+    for bad, why in ((b"", "end early"), (compressed(samples, 8)[:100], "end early"), (b"\x00\xff\xff", "bad code|end early")):
+        with pytest.raises(ValueError, match=why):
+            gif.lzw(bad, 8, 9_000)
+
+
+#: A published ten by ten picture of three colours: its LZW data, minimum code size 2.
+PICTURE = bytes.fromhex("8c2d99872a1cdc33a00275ec95faa8de608c04914c01")
+
+
+def test_lzw_of_a_known_picture():
+    got = gif.lzw(PICTURE, 2, 100).reshape(10, 10)
+    assert ["".join(map(str, r)) for r in got.tolist()] == ["1111122222"] * 3 + ["1110000222"] * 2 + ["2220000111"] * 2 + ["2222211111"] * 3
 
 
 def test_gif_disposal_and_transparency():
@@ -255,11 +281,15 @@ def test_gif_disposal_and_transparency():
 
 
 def test_gif_of_bad_media(spark):
-    good = gif.of_samples(bytes(64))
-    got = gif.read(spark.createDataFrame([(0, b"no"), (1, good[:-20]), (2, None), (3, good)], "id int, media binary")).orderBy("id").collect()
-    assert [r.error for r in got] == ["file ends early", "file ends early", None, None] and got[3].samples == bytes(64)
-    tall = gif.of_samples(bytes(64 * (gif.ROWS + 1)))
+    (good,) = gif.of_samples([bytes(64)])
+    huge = good[:6] + b"\xff\xff\xff\xff" + good[10:]
+    got = gif.read(spark.createDataFrame([(0, b"no"), (1, good[:-20]), (2, None), (3, good), (4, huge), (3, good)], "id int, media binary")).orderBy("id").collect()
+    assert [r.error for r in got] == ["file ends early", "file ends early", None, None, None, "canvas too large"] and got[3].samples == bytes(64)
+    (tall,) = gif.of_samples([bytes(64 * (gif.ROWS + 1))])
     assert len(gif.parse(tall)[2]) == 2
+    text = (prose(9000, random.Random(1))).encode()
+    text += bytes(-len(text) % 64)
+    assert len(gif.of_samples([text])[0]) < 0.8 * len(text)
 
 
 def test_language_id_on_odd_rows(spark, docs):
