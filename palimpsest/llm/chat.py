@@ -15,7 +15,9 @@ turn where it starts, where its text starts and how long that is (in code points
 
 Defined results: null texts and roles are empty; a conversation with a null id is one of
 its own; ties of ``seq`` are ordered by kind, role and text; a conversation of which no
-message is left has no row; an empty log gives no rows; other columns don't matter.
+message is left has no row; an empty log gives no rows; other columns don't matter.  A
+conversation is one row in the end, so its text must be shorter than Spark's 2 GB of a value;
+all rows with a null id together are such a conversation.
 """
 
 from __future__ import annotations
@@ -45,6 +47,19 @@ def events_of_rows(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", r
     )
 
 
+def streamed(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+    """A log that ends in the same messages as events_of_rows(): each one is opened with a draft, goes on with a delta, is
+    regenerated in two deltas of a wrong end, is edited to its first half, and ends with a delta of the rest."""
+    said = F.coalesce("text", F.lit(""))
+    half = F.floor(F.length(said) / 2).cast("int")
+    first, rest = F.substr(said, F.lit(1), half), F.substr(said, half + 1)
+    steps = [("open", "role", F.lit("draft ")), ("delta", None, rest), ("regenerate", None, None), ("delta", None, first), ("delta", None, F.lit(" wrong")), ("edit", None, first), ("delta", None, rest)]
+    given = lambda c: F.lit(None).cast("string") if c is None else c if isinstance(c, Column) else F.col(c)
+    log = F.array(*[F.struct(F.lit(k).alias("step"), F.lit(kind).alias("kind"), given(r).alias("role"), given(t).alias("text")) for k, (kind, r, t) in enumerate(steps)])
+    events = events_of_rows(rows, conv, turn, role, text).select("conv", "msg", "seq", F.explode(log).alias("e"))
+    return events.select("conv", "msg", (F.col("seq") * len(steps) + F.col("e.step")).alias("seq"), "e.kind", "e.role", "e.text")
+
+
 def fold(events: DataFrame) -> DataFrame:
     """Final messages (conv, pos, role, text), pos from 1 without gaps, of rows (conv, msg, seq, kind, role, text)."""
     message = Window.partitionBy("conv", "msg")

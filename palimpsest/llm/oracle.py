@@ -8,11 +8,15 @@ from __future__ import annotations
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-OP1 = f"""WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
-d AS (SELECT *, sha1(body) AS h, max(page_id) OVER (PARTITION BY body) AS chosen FROM p)
-SELECT page_id, strlen(body)::BIGINT AS payload_bytes,
-  array_to_string(list_transform(range(0, 32), lambda k: substr('{ALPHABET}', (((('0x' || substr(h, (k // 4) * 5 + 1, 5))::INT >> (15 - 5 * (k % 4))::INT) & 31) + 1)::BIGINT, 1)), '') AS payload_digest,
-  CASE WHEN page_id = chosen THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> chosen THEN chosen END AS refers_to FROM d"""
+OP1 = f"""WITH p AS (SELECT page_id, url, coalesce(html, '') AS body FROM pages),
+d AS (SELECT *, sha1(body) AS h, max(page_id) OVER (PARTITION BY body) AS chosen FROM p),
+e AS (SELECT *, array_to_string(list_transform(range(0, 32), lambda k: substr('{ALPHABET}', (((('0x' || substr(h, (k // 4) * 5 + 1, 5))::INT >> (15 - 5 * (k % 4))::INT) & 31) + 1)::BIGINT, 1)), '') AS digest FROM d),
+r AS (SELECT *, chr(13) || chr(10) AS nl, 'WARC/1.1' || nl || 'WARC-Type: ' || CASE WHEN page_id = chosen THEN 'response' ELSE 'revisit' END || nl || 'WARC-Record-ID: <urn:record:' || page_id || '>' || nl || 'WARC-Date: 1970-01-01T00:00:00Z' || nl
+  || coalesce('WARC-Target-URI: ' || regexp_replace(url, '[\r\n]', '', 'g') || nl, '') || 'WARC-Payload-Digest: sha1:' || digest || nl
+  || CASE WHEN page_id = chosen THEN 'Content-Length: ' || strlen(body) ELSE 'WARC-Refers-To: <urn:record:' || chosen || '>' || nl || 'WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest' || nl || 'Content-Length: 0' END
+  || nl || nl || CASE WHEN page_id = chosen THEN body ELSE '' END || nl || nl AS record FROM e)
+SELECT page_id, strlen(body)::BIGINT AS payload_bytes, digest AS payload_digest, CASE WHEN page_id = chosen THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> chosen THEN chosen END AS refers_to,
+  strlen(record)::BIGINT AS record_bytes, sha256(record) AS record_sha256 FROM r"""
 
 OP2 = f"""WITH r AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 h AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM r),

@@ -41,13 +41,18 @@ def op2_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with three edits: words put in after a third, a replacement in the middle, 40 characters dropped after two thirds."""
+    """Stores every document's tree, then edits the stored trees: words put in after a third, a replacement in the middle, 40 characters dropped after two thirds."""
+    from palimpsest.cluster import shared_folder
     from palimpsest.llm import token_counts
 
+    folder = shared_folder(spark, "trees")
+    token_counts.trees(table(spark, sf_dir, "documents"), *tokenizer()).write.option("compression", "zstd").parquet(folder)
     n = F.length("text")
     edit = lambda at, drop, insert: F.struct(F.floor(at).cast("long").alias("at"), F.lit(drop).cast("long").alias("drop"), F.lit(insert).alias("insert"))
     edits = F.array(edit(n / 3, 0, " some words put in"), edit(n / 2, 12, "'ll be\n\n  replaced 2024"), edit(n * 2 / 3, 40, ""))
-    return token_counts.edited_counts(table(spark, sf_dir, "documents").withColumn("edits", edits), *tokenizer())
+    after = token_counts.edited(spark.read.parquet(folder).withColumn("edits", edits), *tokenizer())
+    digest = F.sha2(F.col("text").cast("binary"), 256)
+    return after.select("doc_id", "n_tokens", "n_tokens_after", F.length("text").cast("long").alias("n_chars_after"), digest.alias("text_after_sha256"), F.size("counts").cast("long").alias("n_leaves"), "encoded_chars")
 
 
 def op4_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,12 +77,13 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows as a log of drafts, deltas, edits and regenerations, folded again."""
     from palimpsest.llm import chat
 
     said = "<|im_end|><|im_start|>assistant ok"
     more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
-    return chat.summary(chat.read_back(chat.render(chat.fold(chat.events_of_rows(rows)))))
+    return chat.summary(chat.read_back(chat.render(chat.fold(chat.streamed(rows)))))
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,11 +7,14 @@ the others are revisits that refer to it; payloads below ``least`` bytes are alw
 responses.  Reading verifies each stored payload against its key (and fails if it
 doesn't hold), and joins headers and payloads into the original WARC/1.1 records.
 
-The payload column moves in one shuffle only, when the response of each payload is
-picked; which record that is, is found on (digest, id) rows.
+When writing, the payload column moves in one shuffle only, when the response of each
+payload is picked; which record that is, is found on (digest, id) rows.  When reading, each
+stored payload moves once, to the headers that name it.
 
 Defined results: null payloads are empty; null ids are the least; rows with equal id and
-payload are one record each, all of the same type; an empty table makes an empty archive.
+payload are one record each, all of the same type, and store their payload once; an empty
+table makes an empty archive; other columns don't matter; a payload, of whatever length, is
+never cut.
 """
 
 from __future__ import annotations
@@ -31,8 +34,8 @@ def base32_sha1(payload: Column) -> Column:
     return F.translate(F.concat(*groups), DIGITS, BASE32)
 
 
-def write_archive(rows: DataFrame, folder: str, key: str, url: str, payload: str, least: int = 0) -> None:
-    """Writes an archive of one record for each row."""
+def write_archive(rows: DataFrame, folder: str, key: str, url: str, payload: str, least: int = 0, date: str = "1970-01-01T00:00:00Z") -> None:
+    """Writes an archive of one record for each row; date is the time of capture, in UTC."""
     body = F.coalesce(F.col(payload).cast("binary"), F.lit(b""))
     rows = rows.select(F.col(key).alias("id"), F.col(url).alias("url"), body.alias("body"))
     narrow = rows.select("id", "url", F.sha2("body", 256).alias("sha256"), base32_sha1(F.col("body")).alias("sha1"), F.octet_length("body").cast("long").alias("size"))
@@ -45,6 +48,7 @@ def write_archive(rows: DataFrame, folder: str, key: str, url: str, payload: str
         F.lit("WARC/1.1"),
         F.concat(F.lit("WARC-Type: "), F.when(revisit, "revisit").otherwise("response")),
         F.concat(F.lit("WARC-Record-ID: "), urn(F.col("id"))),
+        F.lit(f"WARC-Date: {date}"),
         F.concat(F.lit("WARC-Target-URI: "), F.regexp_replace("url", r"[\r\n]", "")),
         F.concat(F.lit("WARC-Payload-Digest: sha1:"), F.col("sha1")),
         F.when(revisit, F.concat(F.lit("WARC-Refers-To: "), urn(F.col("chosen")))),
@@ -52,8 +56,8 @@ def write_archive(rows: DataFrame, folder: str, key: str, url: str, payload: str
         F.concat(F.lit("Content-Length: "), F.when(revisit, F.lit(0)).otherwise(F.col("size")).cast("string")),
     )
     headers.select("id", "sha256", lines.cast("binary").alias("header")).write.parquet(f"{folder}/headers")
-    picked = rows.join(chosen.where("chosen IS NOT NULL").select(F.col("chosen").alias("id"), F.col("sha256").alias("key")), "id").where(F.sha2("body", 256) == F.col("key")).select("key", "body")
-    lone = rows.where("id IS NULL").withColumn("key", F.sha2("body", 256)).join(chosen.where("chosen IS NULL").select(F.col("sha256").alias("key")), "key").select("key", "body")
+    picked = rows.join(chosen.where("chosen IS NOT NULL").select(F.col("chosen").alias("id"), F.col("sha256").alias("key")), "id").where(F.sha2("body", 256) == F.col("key")).dropDuplicates(["id", "key"]).select("key", "body")
+    lone = rows.where("id IS NULL").withColumn("key", F.sha2("body", 256)).join(chosen.where("chosen IS NULL").select(F.col("sha256").alias("key")), "key").dropDuplicates(["key"]).select("key", "body")
     picked.unionByName(lone).write.option("compression", "zstd").parquet(f"{folder}/payloads")
 
 
@@ -79,18 +83,19 @@ def read_headers(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def read_records(spark: SparkSession, folder: str) -> DataFrame:
-    """Rows (record_id, record, payload): the original records, and the payloads that they stand for."""
-    body = read_payloads(spark, folder).dropDuplicates(["key"])
-    rows = read_headers(spark, folder).join(body, "key")
+    """Rows (record_id, record_type, payload_digest, refers_to, record, payload): the original records, and the payloads that they stand for; a payload that doesn't have its header's digest fails the query."""
+    rows = read_headers(spark, folder).join(read_payloads(spark, folder), "key")
     block = F.when(F.col("record_type") == "response", F.col("body")).otherwise(F.lit(b""))
     end = F.lit((CRLF * 2).encode())
-    return rows.select("record_id", "record_type", F.concat("header", end, block, end).alias("record"), F.col("body").alias("payload"))
+    sha1 = base32_sha1(F.col("body"))
+    same = F.when(sha1 == F.col("payload_digest"), F.col("payload_digest")).otherwise(F.raise_error(F.concat(F.lit("header and payload differ: "), "key")))
+    return rows.select("record_id", "record_type", same.alias("payload_digest"), "refers_to", F.concat("header", end, block, end).alias("record"), F.col("body").alias("payload"))
 
 
 def read_summary(spark: SparkSession, folder: str, key: str) -> DataFrame:
-    """A row for each record, with size and SHA-1 of the stored payload; these are taken before the join, so that no payload moves."""
-    facts = read_payloads(spark, folder).select("key", F.octet_length("body").cast("long").alias("payload_bytes"), base32_sha1(F.col("body")).alias("sha1")).dropDuplicates(["key"])
-    rows = read_headers(spark, folder).join(facts, "key")
-    same = F.when(F.col("sha1") == F.col("payload_digest"), F.col("sha1")).otherwise(F.raise_error(F.concat(F.lit("header and payload differ: "), "key")))
+    """A row for each record, with size and SHA-1 of the payload that it stands for, and the size and SHA-256 of the record, from the records as read back."""
     number = lambda c: F.when(F.col(c) != "", F.col(c).cast("long"))
-    return rows.select(number("record_id").alias(key), "payload_bytes", same.alias("payload_digest"), "record_type", F.when(F.col("record_type") == "revisit", number("refers_to")).alias("refers_to"))
+    return read_records(spark, folder).select(
+        number("record_id").alias(key), F.octet_length("payload").cast("long").alias("payload_bytes"), "payload_digest", "record_type",
+        F.when(F.col("record_type") == "revisit", number("refers_to")).alias("refers_to"), F.octet_length("record").cast("long").alias("record_bytes"), F.sha2("record", 256).alias("record_sha256"),
+    )

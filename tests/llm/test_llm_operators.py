@@ -151,36 +151,63 @@ def test_bpe_rejects_unknown_ids(spark):
         bpe.decode(spark.createDataFrame([([999_999],)], "ids array<int>"), *queries.tokenizer()).collect()
 
 
-def test_token_tree_against_full_counts():
+def token_coder():
     path, pattern = queries.tokenizer()
     with open(path, "rb") as f:
-        count = token_counts.counter(f.read(), pattern)
+        return token_counts.coder(f.read(), pattern)
+
+
+def test_token_tree_against_full_counts():
+    coder = token_coder()
     rng = random.Random(2)
     for start in ["", "x", prose(300, rng), "no-spaces" * 200, " \n ".join(ODD), prose(2000, rng).replace("a ", "a\n")]:
-        tree, text = token_counts.TokenTree(start, count, leaf=32), start
-        for _ in range(60):
+        tree, text = token_counts.TokenTree(coder, start), start
+        for k in range(80):
             at, drop = rng.randint(0, len(text) + 3), rng.choice([0, 0, 1, 5, 60, 400])
-            insert = rng.choice(["", " ", "\n", "x", " word", "'ll", "12", prose(30, rng), " a b ", "\n\n"])
+            insert = rng.choice(["", " ", "\n", "x", " word", "'ll", "12", prose(30, rng), " a b ", "\n\n", "\u00a0"])
             tree.edit(at, drop, insert)
             text = text[:at] + insert + text[at + drop :]
-            assert tree.text == text
-            assert tree.tokens == count(text)
-            assert tree.length == len(text)
-    tree = token_counts.TokenTree(prose(50_000, rng), count)
+            words = coder.split(text)
+            chars, counts = tree.state()
+            assert (tree.text, tree.length, tree.tokens) == (text, len(text), sum(coder.counts(words)))
+            assert (chars.tolist(), counts.tolist()) == ([len(w) for w in words], coder.counts(words))
+            if k % 9 == 0:
+                tree = token_counts.TokenTree(coder, tree.text, chars, counts)
+                assert tree.encoded == 0
+    tree = token_counts.TokenTree(coder, prose(50_000, rng))
     tree.encoded = 0
     tree.edit(100_000, 10, "changed here")
-    assert tree.encoded < 2_000
+    assert tree.encoded < 100
 
 
-def test_token_counts_with_an_edit_table(spark, docs):
+def test_token_counts_with_an_edit_table(spark, docs, tmp_path):
+    """Two batches of edits, one after the other, on states that were stored in between."""
     edits = spark.createDataFrame([(0, 2, 0, 1, "b"), (0, 1, 0, 0, "a "), (999, 1, 0, 0, "z"), (1, 1, 5, 10**9, None)], "doc_id long, seq long, at long, drop long, insert string")
-    got = by_id(token_counts.edited_counts(token_counts.with_edits(docs.drop("edits"), edits), *queries.tokenizer()))
+    token_counts.trees(docs, *queries.tokenizer()).write.parquet(str(tmp_path / "0"))
+    token_counts.edited(token_counts.with_edits(spark.read.parquet(str(tmp_path / "0")), edits), *queries.tokenizer()).write.parquet(str(tmp_path / "1"))
+    more = F.expr("array(named_struct('at', 3L, 'drop', 0L, 'insert', '!'), null)")
+    got = by_id(token_counts.edited(spark.read.parquet(str(tmp_path / "1")).withColumn("edits", more), *queries.tokenizer()))
+    middle = by_id(spark.read.parquet(str(tmp_path / "1")))
     rows = dict(corpus())
     want = {i: t or "" for i, t in rows.items()}
     want[0] = "b" + ("a " + want[0])[1:]
     want[1] = want[1][:5]
+    assert len(got) == len(rows)
     for i, t in want.items():
-        assert (got[i].n_tokens, got[i].n_tokens_after) == (len(tiktoken_encode(rows[i] or "")), len(tiktoken_encode(t)))
+        assert (middle[i].text, middle[i].n_tokens, middle[i].n_tokens_after) == (t, len(tiktoken_encode(rows[i] or "")), len(tiktoken_encode(t)))
+        last = t[:3] + "!" + t[3:]
+        assert (got[i].text, got[i].n_tokens, got[i].n_tokens_after, sum(got[i].counts)) == (last, len(tiktoken_encode(t)), *[len(tiktoken_encode(last))] * 2)
+    assert token_counts.edited(token_counts.trees(docs.where("false"), *queries.tokenizer()).withColumn("edits", more), *queries.tokenizer()).count() == 0
+
+
+def test_token_counts_query_by_brute_force(spark, sf):
+    got = by_id(queries.op3_token_counts(spark, sf))
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        text = t = r.text or ""
+        for at, drop, insert in ((len(t) // 3, 0, " some words put in"), (len(t) // 2, 12, "'ll be\n\n  replaced 2024"), (len(t) * 2 // 3, 40, "")):
+            text = text[:at] + insert + text[at + drop :]
+        row = got[r.doc_id]
+        assert (row.n_tokens, row.n_tokens_after, row.n_chars_after, row.text_after_sha256) == (len(tiktoken_encode(t)), len(tiktoken_encode(text)), len(text), hashlib.sha256(text.encode()).hexdigest())
 
 
 def test_gif_round_trip(docs):
@@ -333,6 +360,49 @@ def test_chat_reads_back(spark):
     assert chat.summary(chat.read_back(chat.render(chat.fold(chat.events_of_rows(df.where("false")))))).count() == 0
 
 
+def test_streamed_rows_end_as_the_rows(spark):
+    df = spark.createDataFrame(conversation_rows(), "conv_id long, turn long, role string, text string")
+    rows = lambda events: sorted(map(repr, chat.fold(events).collect()))
+    assert rows(chat.streamed(df)) == rows(chat.events_of_rows(df))
+    assert set(r.kind for r in chat.streamed(df).collect()) == {"open", "delta", "edit", "regenerate"}
+
+
+def plain_fold(log):
+    """The messages of one conversation's events (msg, seq, kind, role, text)."""
+    messages = {}
+    for msg, seq, kind, role, text in sorted(log, key=lambda e: e[1]):
+        m = messages.setdefault(msg, {"first": seq, "role": "", "text": "", "gone": False, "back": False})
+        if kind == "open":
+            m["role"] = role or ""
+        if kind == "regenerate":
+            for o in messages.values():
+                o["back"] |= m["first"] < o["first"]
+        m["text"] = (m["text"] if kind in ("open", "delta") else "") + ((text or "") if kind not in ("regenerate", "delete") else "")
+        m["gone"] = kind == "delete"
+    return [(m["role"], m["text"]) for m in sorted(messages.values(), key=lambda m: m["first"]) if not m["gone"] and not m["back"]]
+
+
+def test_random_logs_against_a_plain_fold(spark):
+    rng, logs = random.Random(8), {}
+    for conv in range(60):
+        seen, log = 0, []
+        for seq in range(rng.randint(1, 25)):
+            if not seen or rng.random() < 0.3:
+                seen += 1
+                log.append((seen, seq, "open", rng.choice(["user", "assistant", None]), rng.choice(["", None, "hi ", "x"])))
+            else:
+                kind = rng.choice(["delta"] * 5 + ["edit", "regenerate", "delete"])
+                log.append((rng.randint(1, seen), seq, kind, None, f"t{seq} " if kind in ("delta", "edit") else None))
+        logs[conv] = log
+    rows = [(conv, *e) for conv, log in logs.items() for e in log]
+    rng.shuffle(rows)
+    found = {}
+    for r in sorted(chat.fold(spark.createDataFrame(rows, "conv long, msg long, seq long, kind string, role string, text string")).collect(), key=lambda r: (r.conv, r.pos)):
+        found.setdefault(r.conv, []).append((r.role, r.text))
+    for conv, log in logs.items():
+        assert found.get(conv, []) == plain_fold(log), log
+
+
 def test_chat_events_fold(spark):
     log = [
         (1, 1, 1, "open", "user", "hel"), (1, 1, 2, "delta", None, "lo"), (1, 2, 3, "open", "assistant", "bad"), (1, 2, 4, "delta", None, " answer"), (1, 3, 5, "open", "user", "why?"),
@@ -369,16 +439,16 @@ def test_archive(spark, tmp_path):
     df = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, id string")
     folder = str(tmp_path / "a")
     warc.write_archive(df, folder, "page_id", "url", "html")
-    got = sorted((tuple(r) for r in warc.read_summary(spark, folder, "page_id").collect()), key=lambda r: r[0])
+    got = sorted((tuple(r)[:5] for r in warc.read_summary(spark, folder, "page_id").collect()), key=lambda r: r[0])
     want = []
     for i, _, t in sorted(rows, key=lambda r: r[0]):
         b, top = (t or "").encode(), max(j for j, _, s in rows if (s or "") == (t or ""))
         want.append((i, len(b), base64.b32encode(hashlib.sha1(b).digest()).decode(), "response" if i == top else "revisit", None if i == top else top))
     assert got == want
     records = {(r.record_id, r.record_type): bytes(r.record) for r in warc.read_records(spark, folder).collect()}
-    assert records["5", "response"] == b"\r\n".join([b"WARC/1.1", b"WARC-Type: response", b"WARC-Record-ID: <urn:record:5>", b"WARC-Target-URI: http://b/X: y", b"WARC-Payload-Digest: sha1:" + want[4][2].encode(), b"Content-Length: 4", b"", b"same", b"", b""])
+    assert records["5", "response"] == b"\r\n".join([b"WARC/1.1", b"WARC-Type: response", b"WARC-Record-ID: <urn:record:5>", b"WARC-Date: 1970-01-01T00:00:00Z", b"WARC-Target-URI: http://b/X: y", b"WARC-Payload-Digest: sha1:" + want[4][2].encode(), b"Content-Length: 4", b"", b"same", b"", b""])
     assert b"WARC-Refers-To: <urn:record:5>" in records["1", "revisit"] and records["1", "revisit"].endswith(b"Content-Length: 0\r\n\r\n\r\n\r\n")
-    assert spark.read.parquet(f"{folder}/payloads").select("key").distinct().count() == 3
+    assert spark.read.parquet(f"{folder}/payloads").count() == 3
     warc.write_archive(df, str(tmp_path / "b"), "page_id", "url", "html", least=5)
     assert {r.record_type for r in warc.read_summary(spark, str(tmp_path / "b"), "page_id").where("payload_bytes < 5").collect()} == {"response"}
     warc.write_archive(df.where("false"), str(tmp_path / "c"), "page_id", "url", "html")
