@@ -12,7 +12,9 @@ The windows are broadcast while they hold at most ``bound`` bytes; beyond that,
 documents' words are joined with the prefix words in a shuffle.  Both give equal results.
 
 Defined results: null and empty texts have no words; items without words, or with null
-ids, occur nowhere; repeated items count once; repeated documents give a row each.
+ids, occur nowhere; repeated items count once; repeated documents give a row each; an empty
+table gives no rows, and an empty benchmark no hits; other columns stay, but for those named
+as the new ones; texts of any length are searched whole.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palimpsest.cluster import cut, map_arrow
+from palimpsest.cluster import cut, map_arrow, unused
 from palimpsest.llm.words import LETTERS
 
 #: Bytes of windows and words that are broadcast.
@@ -128,7 +130,8 @@ def contamination(docs: DataFrame, bench: DataFrame, text: str = "text", item: s
         return map_arrow(docs, run, fields)
 
     prefix = cut(prefix)
-    keyed = docs.withColumn("__key", F.xxhash64(text))
+    key, held = unused("key", names), unused("held", names)
+    keyed = docs.withColumn(key, F.xxhash64(text))
 
     def tokens(batch: pa.RecordBatch) -> pa.RecordBatch:
         keys, out = [], []
@@ -136,11 +139,13 @@ def contamination(docs: DataFrame, bench: DataFrame, text: str = "text", item: s
             found = set(split(t))
             keys += [k] * len(found)
             out += found
-        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(out, pa.binary())], names=["__key", "word"])
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(out, pa.binary())], names=["k", "word"])
 
-    seen = map_arrow(keyed.select("__key", text), tokens, "__key long, word binary").distinct()
-    candidates = seen.join(prefix, "word").groupBy("__key").agg(F.collect_list(F.struct("word", "place", "window", "items")).alias("__windows"))
-    joined = keyed.join(candidates, "__key", "left").select(*docs.columns, "__windows")
+    seen = map_arrow(keyed.where(F.col(text).isNotNull()).select(key, text), tokens, "k long, word binary").distinct()
+    candidates = seen.join(prefix, "word").groupBy("k").agg(F.max("k").alias("of"), F.collect_list(F.struct("word", "place", "window", "items")).alias(held)).select("of", held)
+    # both sides are shuffles of their own, so that Spark can split the partition of a text with very many copies
+    of = unused("of", [*names, key, held])
+    joined = keyed.join(candidates.withColumnRenamed("of", of), F.col(key) == F.col(of), "left").select(*names, held)
 
     def verify(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = []

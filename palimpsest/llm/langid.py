@@ -10,7 +10,9 @@ product with the table: one row of a few floats for each n-gram of the whole tex
 
 Defined results: null texts and texts without letters are ``und`` with score 0 and are
 rejected; without any labelled row all texts are ``und``; equal texts get equal results;
-ties go to the first language in string order.
+ties go to the first language in string order; repeated rows are rows each; an empty table
+gives no rows; other columns stay, but for those named as the new ones.  Texts of any length
+are read whole, in blocks; a text of more than ``LONGEST`` bytes is not trained on.
 """
 
 from __future__ import annotations
@@ -25,8 +27,11 @@ from pyspark.sql import types as T
 
 from palimpsest.cluster import map_arrow
 
-#: Labelled rows used for training at most (the least by a hash of their text).
+#: Labelled rows used for training at most (the least by a hash of their key), and the bytes of such a row at most.
 SAMPLE = 3000
+LONGEST = 1 << 16
+#: Bytes whose n-grams are looked up at once.
+BLOCK = 1 << 22
 SIZES = (2, 3, 4)
 BUCKETS = 1 << 16
 DIM = 16
@@ -44,29 +49,37 @@ SPACED = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 FACTORS = np.array([0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F], np.uint32)
 
 
-def ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the n-grams of all texts, and the text that each belongs to, text by text within each size."""
+def blocks(texts: list[str]):
+    """Hashes of the n-grams of all texts, and the text that each belongs to; n-grams that begin within a block of the joined bytes at a time."""
     data = [b" " + t.lower().encode().translate(SPACED) + b" " for t in texts]
-    sizes = np.fromiter(map(len, data), np.int64, len(data))
-    b = np.frombuffer(b"".join(data), np.uint8)
-    owner = np.repeat(np.arange(len(data), dtype=np.int32), sizes)
-    space = b == 32
-    wide = b.astype(np.uint32)
-    hashes, owners = [], []
-    for n in SIZES:
-        m = len(b) - n + 1
-        h = np.full(m, n, np.uint32)
-        fine = owner[:m] == owner[n - 1 :]
-        for i in range(n):
-            h = h * FACTORS[i] + wide[i : m + i]
-            if 0 < i < n - 1:
-                fine &= ~space[i : m + i]
-        fine &= ~(space[:m] & space[n - 1 :])
-        h ^= h >> np.uint32(15)
-        h *= FACTORS[1]
-        hashes.append((h >> np.uint32(16))[fine] % BUCKETS)
-        owners.append(owner[:m][fine])
-    return np.concatenate(hashes), np.concatenate(owners)
+    ends = np.cumsum(np.fromiter(map(len, data), np.int64, len(data)))
+    every = np.frombuffer(b"".join(data), np.uint8)
+    for begin in range(0, len(every), BLOCK):
+        b = every[begin : begin + BLOCK + max(SIZES) - 1]
+        low, high = np.searchsorted(ends, [begin, begin + len(b) - 1], "right")
+        edges = np.clip(ends[low : high + 1] - begin, 0, len(b))
+        owner = np.repeat(np.arange(low, high + 1, dtype=np.int32), np.diff(np.append(0, edges)))
+        space = b == 32
+        wide = b.astype(np.uint32)
+        hashes, owners = [], []
+        for n in SIZES:
+            m = min(max(len(b) - n + 1, 0), BLOCK)
+            h = np.full(m, n, np.uint32)
+            fine = owner[:m] == owner[n - 1 : n - 1 + m]
+            for i in range(n):
+                h = h * FACTORS[i] + wide[i : m + i]
+                if 0 < i < n - 1:
+                    fine &= ~space[i : m + i]
+            fine &= ~(space[:m] & space[n - 1 : n - 1 + m])
+            h ^= h >> np.uint32(15)
+            h *= FACTORS[1]
+            hashes.append((h >> np.uint32(16))[fine] % BUCKETS)
+            owners.append(owner[:m][fine])
+        yield np.concatenate(hashes), np.concatenate(owners)
+
+
+def ngrams(text: str) -> np.ndarray:
+    return np.concatenate([h for h, _ in blocks([text])])
 
 
 class Model:
@@ -76,10 +89,12 @@ class Model:
         self.langs, self.table, self.bias, self.temperature, self.threshold = langs, table, bias, temperature, threshold
 
     def logits(self, texts: list[str]) -> np.ndarray:
-        h, owner = ngrams(texts)
-        n = np.maximum(np.bincount(owner, minlength=len(texts)), 1)
-        sums = [np.bincount(owner, self.table[:, k][h], minlength=len(texts)) for k in range(len(self.langs))]
-        return np.stack(sums, axis=1) / n[:, None] + self.bias
+        n, sums = np.zeros(len(texts)), np.zeros((len(texts), len(self.langs)))
+        for h, owner in blocks(texts):
+            n += np.bincount(owner, minlength=len(texts))
+            for k in range(len(self.langs)):
+                sums[:, k] += np.bincount(owner, self.table[:, k][h], minlength=len(texts))
+        return sums / np.maximum(n, 1)[:, None] + self.bias
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[bool]]:
         """Language, score and whether the text is rejected."""
@@ -106,7 +121,7 @@ def train(texts: list[str], labels: list[str], seed: int = 7) -> Model:
     y = np.array([langs.index(x) for x in labels])
     bags = []
     for t in texts:
-        ids, n = np.unique(ngrams([t])[0], return_counts=True)
+        ids, n = np.unique(ngrams(t), return_counts=True)
         bags.append((ids, (n / n.sum()).astype(np.float32)) if len(ids) else None)
     order = [i for i in rng.permutation(len(texts)) if bags[i]]
     held, fit = order[::5], [i for k, i in enumerate(order) if k % 5] or order
@@ -143,9 +158,9 @@ def held_out(key: str) -> Column:
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Model:
-    """Trains on at most ``sample`` labelled rows that aren't held out."""
-    rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(key)).select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.xxhash64(F.col(key).cast("string")).alias("h"))
+def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE, longest: int = LONGEST) -> Model:
+    """Trains on at most ``sample`` labelled rows of at most ``longest`` bytes that aren't held out."""
+    rows = docs.where(F.col(lang).isNotNull() & (F.octet_length(text) <= longest) & ~held_out(key)).select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.xxhash64(F.col(key).cast("string")).alias("h"))
     # the key only deals rows out; it is no input of the model
     last = rows.select("h").orderBy("h").limit(sample).agg(F.max("h")).first()[0]
     found = rows.where(F.col("h") <= last).orderBy("h", "text", "lang").limit(sample).collect() if last is not None else []

@@ -9,7 +9,9 @@ judged once.  The index is broadcast by Spark only below its own measured thresh
 Defined results: null urls and urls without ``://`` have empty host and path and fit no rule;
 where no rule fits, ``rule`` is null and the verdict is the default; of fitting rules the
 longest wins (then the later in string order, and block before allow); a rule without
-any token is under the empty token, which every url has; repeated urls are judged alike.
+any token is under the empty token, which every url has; repeated urls are judged alike; an
+empty table gives no rows and no rules give the default; other columns stay, but for those
+named as the new ones; a url of any length is judged whole.
 """
 
 from __future__ import annotations
@@ -17,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.cluster import unused
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -62,6 +66,7 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "
     listed = rules.select("rule", "verdict", "pattern", F.explode("tokens").alias("token")).join(counts, "token", "left")
     index = listed.groupBy("rule", "verdict", "pattern").agg(F.min_by("token", F.struct(F.coalesce("n", F.lit(0)), "token")).alias("token"))
     fits = asked.join(index, "token").where(F.regexp_like(F.concat("host", "path"), F.col("pattern")))
-    best = fits.groupBy("url").agg(F.max_by(F.struct("rule", "verdict"), F.struct(F.length("rule"), "rule", "verdict")).alias("__best"))
-    judged = pages.join(best.withColumnRenamed("url", "__url"), F.col(url) == F.col("__url"), "left")
-    return judged.select(*pages.columns, host.alias("host"), path.alias("path"), F.col("__best.rule").alias("rule"), F.coalesce("__best.verdict", F.lit(default)).alias("verdict"))
+    best = fits.groupBy("url").agg(F.max_by(F.struct("rule", "verdict"), F.struct(F.length("rule"), "rule", "verdict")).alias("best"))
+    judged, fit = unused("judged", pages.columns), unused("fit", pages.columns)
+    rows = pages.join(best.select(F.col("url").alias(judged), F.col("best").alias(fit)), F.col(url) == F.col(judged), "left")
+    return rows.select(*pages.columns, host.alias("host"), path.alias("path"), F.col(fit)["rule"].alias("rule"), F.coalesce(F.col(fit)["verdict"], F.lit(default)).alias("verdict"))

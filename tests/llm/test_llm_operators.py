@@ -329,6 +329,24 @@ def test_language_id_on_odd_rows(spark, docs):
     assert langid.identify(docs.where("false"), langid.learn(docs.where("false"))).count() == 0
 
 
+def test_language_id_of_long_texts(monkeypatch):
+    texts = [prose(200, random.Random(k)) + " \u00e9t\u00e9" for k in range(8)] + ["", "x"]
+    model = langid.train(texts[:8], ["a", "b"] * 4)
+    want = model.predict(texts)
+    monkeypatch.setattr(langid, "BLOCK", 37)
+    got = model.predict(texts)
+    assert got[0] == want[0] and got[1] == pytest.approx(want[1])
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(1, "http://x.net/", "a b", "c", "d", "e")], "page_id long, url string, text string, judged string, key string, ranges string")
+    rules = spark.createDataFrame(queries.URL_RULES, "host string, path string, verdict string")
+    assert url_filter.judge(df, rules).first().rule == "net/"
+    bench = spark.createDataFrame([(1, "a b")], "item_id long, text string")
+    assert decontam.contamination(df, bench, bound=0).select("key", "n_hit").first() == ("d", 2)
+    assert substring.remove_repeats(df, key="page_id").select("ranges", "kept_text").first() == ("e", "a b")
+
+
 def test_language_id_held_out(spark, sf):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     found = queries.op8_language_id(spark, "/root/testdata/sf0.01").join(df.select("doc_id", "lang"), "doc_id").where("held_out AND lang IS NOT NULL")
