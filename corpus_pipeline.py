@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a table; it is written as Parquet and read again
 as the next one's docs.  All but the last return the columns of documents.
+
+Defined results, for every stage: an empty table gives an empty one; other columns than those
+of documents are left out; repeated rows are judged alike, so all stay or go; rows with a null
+doc_id are judged by their text alone, and are no copies of others; texts are read whole.  Null
+texts and texts without letters are rejected by language ID; given to a later stage, they have
+no words, so it keeps them, and they have no tokens.
 """
 
 from __future__ import annotations
@@ -9,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.cluster import shared_folder
+from palimpsest.cluster import remove_folder, shared_folder, written
 from palimpsest.llm import bpe, decontam, langid, partenum, queries, substring
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -60,14 +66,18 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages one after another, over all documents."""
-    folder = shared_folder(spark, "pipeline")
-    docs = queries.table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        if k == len(STAGES) - 1:
-            return out
-        out.write.parquet(f"{folder}/{k}_{name}")
-        docs = spark.read.parquet(f"{folder}/{k}_{name}")
-    return docs
+def run(spark: SparkSession, sf_dir: str, folder: str | None = None) -> DataFrame:
+    """The stages one after another, over all documents.
+
+    folder: where the stages' tables go, in a store that all share (a new folder, if none is given).  A run that failed goes on
+    after the last stage that was written there; a stage's table is removed when the next one is written."""
+    folder = folder or shared_folder(spark, "pipeline")
+    paths = [f"{folder}/{k}_{name}" for k, (name, _) in enumerate(STAGES)]
+    done = max((k for k in range(len(STAGES) - 1) if written(spark, paths[k])), default=-1)
+    docs = spark.read.parquet(paths[done]) if done >= 0 else queries.table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES[done + 1 : -1], done + 1):
+        stage(spark, docs, sf_dir).write.mode("overwrite").parquet(paths[k])
+        if k:
+            remove_folder(spark, paths[k - 1])
+        docs = spark.read.parquet(paths[k])
+    return STAGES[-1][1](spark, docs, sf_dir)
