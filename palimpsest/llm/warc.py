@@ -7,9 +7,9 @@ the others are revisits that refer to it; payloads below ``least`` bytes are alw
 responses.  Reading verifies each stored payload against its key (and fails if it
 doesn't hold), and joins headers and payloads into the original WARC/1.1 records.
 
-When writing, the payload column moves in one shuffle only, when the response of each
-payload is picked; which record that is, is found on (digest, id) rows.  When reading, each
-stored payload moves once, to the headers that name it.
+When writing, the payload column moves in one shuffle only, after each task has left out the
+copies that it holds itself; which record is the response is found on (digest, id) rows.  When
+reading, each stored payload moves once, to the headers that name it.
 
 Defined results: null payloads are empty; null ids are the least; rows with equal id and
 payload are one record each, all of the same type, and store their payload once; an empty
@@ -56,9 +56,7 @@ def write_archive(rows: DataFrame, folder: str, key: str, url: str, payload: str
         F.concat(F.lit("Content-Length: "), F.when(revisit, F.lit(0)).otherwise(F.col("size")).cast("string")),
     )
     headers.select("id", "sha256", lines.cast("binary").alias("header")).write.parquet(f"{folder}/headers")
-    picked = rows.join(chosen.where("chosen IS NOT NULL").select(F.col("chosen").alias("id"), F.col("sha256").alias("key")), "id").where(F.sha2("body", 256) == F.col("key")).dropDuplicates(["id", "key"]).select("key", "body")
-    lone = rows.where("id IS NULL").withColumn("key", F.sha2("body", 256)).join(chosen.where("chosen IS NULL").select(F.col("sha256").alias("key")), "key").dropDuplicates(["key"]).select("key", "body")
-    picked.unionByName(lone).write.option("compression", "zstd").parquet(f"{folder}/payloads")
+    rows.select(F.sha2("body", 256).alias("key"), "body").dropDuplicates(["key"]).write.option("compression", "zstd").parquet(f"{folder}/payloads")
 
 
 def read_payloads(spark: SparkSession, folder: str) -> DataFrame:
