@@ -11,7 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-MASK = "[masked]"
+# Fixed value: what stands for a masked message.
+MASK = "<MASKED>"
 # Fixed value: what keeps a message from being masked.
 ERRORS = r"(?i)Traceback \(most recent call last\)|Error:|error:|FAILED|FAIL|AssertionError|Exception:|raise \w+Error|pytest.*ERRORS?|assert .+ =="
 
@@ -181,19 +182,19 @@ def whole_calls(df: DataFrame) -> DataFrame:
     """Rows with part (0 pinned, 1 middle, 2 tail), calls and call_id: answers in the middle follow their call to the head or the tail,
     and a call in the middle with an answer in the tail goes there with all its answers."""
     none = F.array().cast("array<string>")
-    gathered = lambda c: F.array_distinct(F.flatten(F.collect_list(c).over(whole())))
+    gathered = lambda c: F.array_distinct(F.flatten(F.collect_list(c)))
     calls = F.coalesce("calls", none)
-    rows = df.withColumns(
-        {
-            "__pinned": gathered(F.when(F.col("part") == 0, calls)), "__tail": gathered(F.when(F.col("part") == 2, calls)),
-            "__answers": F.collect_set(F.when(F.col("part") == 2, F.col("call_id"))).over(whole()),
-        }
+    # lists of calls are made once a conversation, not once a row
+    lists = df.groupBy("conv").agg(
+        gathered(F.when(F.col("part") == 0, calls)).alias("__pinned"), gathered(F.when(F.col("part") == 2, calls)).alias("__tail"), F.collect_set(F.when(F.col("part") == 2, F.col("call_id"))).alias("__answers")
     )
+    rows = df.join(lists, "conv")
     middle = F.col("part") == 1
     answers = lambda c: F.coalesce(F.array_contains(c, F.col("call_id")), F.lit(False))
     to_head = middle & answers(F.col("__pinned"))
     to_tail = middle & ~to_head & (answers(F.col("__tail")) | F.arrays_overlap(calls, "__answers"))
     rows = rows.withColumn("__part", F.when(to_head, 0).when(to_tail, 2).otherwise(F.col("part")))
-    rows = rows.withColumn("__moved", gathered(F.when(middle & (F.col("__part") == 2), calls)))
+    moved = rows.groupBy("conv").agg(gathered(F.when(middle & (F.col("__part") == 2), calls)).alias("__moved"))
+    rows = rows.join(moved, "conv")
     part = F.when((F.col("__part") == 1) & answers(F.col("__moved")), 2).otherwise(F.col("__part"))
     return rows.withColumn("part", part).drop("__pinned", "__tail", "__answers", "__part", "__moved")

@@ -33,6 +33,53 @@ def decomposed(df: DataFrame) -> DataFrame:
     return steps.select("id", "hop", "s.question", "s.answer", F.coalesce(own, named).alias("p")).select("id", "hop", "question", "answer", F.col("p.title").alias("title"))
 
 
+def structural(df: DataFrame, window: int = 0) -> DataFrame:
+    """Instances without any model call, of rows (id, answer, hops array<struct<question, answer, title, text>>, distractors array<struct<title, text>>).
+
+    A turn for each hop with its paragraph (if title and text are there) and every n-th distractor; facts F1, F2, ... of the hops, each needed at the
+    next one; ``required``: facts whose turn is out of the window (0: each turn sees itself only) where they are needed.  Instances without any go."""
+    n, none = F.size("hops"), F.array().cast("array<struct<title: string, text: string>>")
+    missing = F.coalesce("distractors", none)
+    named = F.transform(missing, lambda d, j: F.struct(F.coalesce(d["title"], F.concat(F.lit("Distractor "), j.cast("string"))).alias("title"), F.coalesce(d["text"], F.lit("")).alias("text"), F.lit(False).alias("supporting"), j.alias("j")))
+
+    def turn(h: Column, i: Column) -> Column:
+        own = F.struct(h["title"].alias("title"), h["text"].alias("text"), F.lit(True).alias("supporting"))
+        there = (F.coalesce(h["title"], F.lit("")) != "") & (F.coalesce(h["text"], F.lit("")) != "")
+        others = F.transform(F.filter(named, lambda d: d["j"] % n == i), lambda d: d.dropFields("j"))
+        return F.struct(i.alias("turn"), h["question"].alias("query"), h["answer"].alias("answer"), F.concat(F.filter(F.array(own), lambda _: there), others).alias("documents"))
+
+    def fact(h: Column, i: Column) -> Column:
+        last = i == n - 1
+        needed = F.when(last, i).otherwise(F.least(i + 1, n - 1))
+        answer = F.coalesce(h["answer"], F.lit(""))
+        return F.struct(
+            F.concat(F.lit("F"), (i + 1).cast("string")).alias("fact_id"), F.concat(F.coalesce(h["title"], F.lit("")), F.lit(": "), answer).alias("content"), F.when(last, "terminal_fact").otherwise("bridge_fact").alias("fact_type"),
+            F.lit(False).alias("is_discoverable"), i.alias("first_available_at_hop"), needed.alias("needed_at_hop"), (needed - i).alias("retention_span"), F.when(last, "").otherwise(answer).alias("intermediate_answer"),
+        )
+
+    rows = df.withColumns({"turns": F.transform("hops", turn), "facts": F.transform("hops", fact)})
+    start = lambda t: F.greatest(F.lit(0), t - max(window - 1, 0))
+    gone = F.filter("facts", lambda f: f["first_available_at_hop"] < start(f["needed_at_hop"]))
+    files = F.transform("turns", lambda t: F.concat_ws("\n\n", F.transform(t["documents"], lambda d: F.concat(F.lit("--- "), d["title"], F.lit(" ---\n"), d["text"]))))
+    total = F.aggregate(F.flatten(F.transform("turns", lambda t: t["documents"])), F.lit(0), lambda a, d: a + F.size(X.space_words(d["text"])))
+    rows = rows.withColumns({"required": F.transform(gone, lambda f: f["fact_id"]), "files": files, "tokens": total})
+    return rows.where(F.size("required") > 0)
+
+
+def rubric(answer: Column, facts: Column, contradictions: Column) -> Column:
+    """What an answer is judged by, of facts as ``structural`` gives them and claims (contradicted_claim, wrong_claim)."""
+    claims = F.transform(contradictions, lambda c: F.coalesce(F.nullif(c["contradicted_claim"], F.lit("")), F.nullif(c["wrong_claim"], F.lit(""))))
+    span = lambda f: f["retention_span"] > 0
+    return F.struct(
+        answer.alias("expected_answer"),
+        F.transform(F.filter(facts, lambda f: ~f["is_discoverable"]), lambda f: f["content"]).alias("retention_facts"),
+        F.filter(claims, lambda c: c.isNotNull()).alias("noise_contradictions"),
+        F.transform(F.filter(facts, lambda f: f["intermediate_answer"] != ""), lambda f: F.struct(f["needed_at_hop"].alias("hop"), f["intermediate_answer"].alias("answer"))).alias("per_hop_answers"),
+        F.transform(F.filter(facts, lambda f: (f["fact_type"] == "bridge_fact") & span(f)), lambda f: F.struct(f["fact_id"], f["first_available_at_hop"].alias("from_hop"), f["needed_at_hop"].alias("to_hop"))).alias("bridge_dependencies"),
+        F.transform(F.filter(facts, span), lambda f: F.struct(f["fact_id"], f["retention_span"])).alias("temporal_facts"),
+    )
+
+
 def compared(runs: DataFrame, base: DataFrame, key: str) -> DataFrame:
     """A run left joined with the baseline: capability_win, regression, both or neither, and the ratio of tokens."""
     b = base.select(key, F.col("resolved").alias("base_resolved"), F.col("tokens").alias("base_tokens"))

@@ -1,7 +1,7 @@
 """Metrics of scored rows: a boolean ``label`` (true: safe) and a score ``p`` that the row is safe.
 
 Harmful is the positive class of ``harmful_*``; empty denominators give 0, and areas and errors are null where
-they are undefined (one class, or one score only)."""
+they are undefined."""
 
 from __future__ import annotations
 
@@ -40,15 +40,15 @@ def confusion(df: DataFrame, by: list[str] | None = None, cut: float | Column =
     return out.withColumns({"harmful_f1": f1(F.col("harmful_precision"), F.col("harmful_recall")), "safe_f1": f1(F.col("safe_precision"), F.col("safe_recall"))})
 
 
-def auroc(df: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Area under the curve by the trapezoid rule over distinct scores; null with one class or one score."""
+def auroc(df: DataFrame, by: list[str] | None = None, one_class: float | None = 0.5) -> DataFrame:
+    """Area under the curve by the trapezoid rule over distinct scores; null where all confidences (p or 1 - p, whichever is larger) are equal, else ``one_class`` where there is one class only."""
     by = by or []
     steps = df.groupBy(*by, "p").agg(F.count_if("label").alias("pos"), F.count_if(~F.col("label")).alias("neg"))
     steps = running(steps, [F.col("p").desc()], {"tp": F.col("pos"), "fp": F.col("neg")}, by)
     area = F.sum(F.col("neg") * (2 * F.col("tp") - F.col("pos")) / 2)
-    out = steps.groupBy(*by).agg(area.alias("area"), F.sum("pos").alias("positives"), F.sum("neg").alias("negatives"), F.count("*").alias("scores"))
+    out = steps.groupBy(*by).agg(area.alias("area"), F.sum("pos").alias("positives"), F.sum("neg").alias("negatives"), F.min(F.greatest("p", 1 - F.col("p"))).alias("least"), F.max(F.greatest("p", 1 - F.col("p"))).alias("most"))
     whole = F.col("positives") * F.col("negatives")
-    return out.select(*by, F.when((whole > 0) & (F.col("scores") > 1), F.col("area") / whole).alias("auroc"))
+    return out.select(*by, F.when(F.col("least") < F.col("most"), F.when(whole > 0, F.col("area") / whole).otherwise(F.lit(one_class).cast("double"))).alias("auroc"))
 
 
 def calibration_error(df: DataFrame, by: list[str] | None = None, bins: int = 15, key: str = "id") -> DataFrame:

@@ -11,8 +11,15 @@ from palimpsest.operators.sets import draw
 
 # Fixed value: what summaries hold.
 SUMMARY = r"USER_CONTEXT|TASK_TRACKING|CURRENT_STATE|Summary of|summary of|condensed"
-#: What is put into a summary as noise.
-NOISE = ["Note: the config was reloaded.", "An unrelated test was skipped.", "Disk usage was checked.", "A branch was renamed."]
+# What a summary holds into which noise is put, and the noise.
+NOISY = r"USER_CONTEXT|TASK_TRACKING|CURRENT_STATE|Summary of|condensed"
+NOISE = [
+    "\n\nNote: Also investigated /testbed/src/utils/deprecated_helper.py which may be related.",
+    "\n\nPreviously found potential issue in validate_input() around line 342.",
+    "\n\nAlso checked /testbed/tests/test_regression.py — tests were passing before this change.",
+    "\n\nThe config parser in /testbed/src/config/loader.py may need updating as well.",
+    "\n\nCOMPLETED: Fixed the type annotation in base_handler.py (unrelated to current task).",
+]
 
 
 def random_drop(df: DataFrame, share: float = 0.2, seed: int = 42) -> DataFrame:
@@ -35,13 +42,13 @@ def redacted_summaries(df: DataFrame) -> DataFrame:
 
 
 def noisy_summary(df: DataFrame, seed: int = 42) -> DataFrame:
-    """Two snippets after the first message of a conversation that looks like a summary."""
-    like = F.regexp_like("content", F.lit(SUMMARY))
+    """Two snippets, picked by md5, at the end of the first message of a conversation that looks like a summary."""
+    like = F.regexp_like("content", F.lit(NOISY))
     first = F.min(F.when(like, F.col("pos"))).over(Window.partitionBy("conv"))
     order = lambda c: F.md5(F.concat(c, F.col("conv").cast("string"), F.lit(f":{seed}")))
     picked = F.slice(F.array_sort(F.array(*[F.struct(order(F.lit(n)).alias("o"), F.lit(n).alias("n")) for n in NOISE])), 1, 2)
-    noise = F.concat_ws("\n", F.transform(picked, lambda x: x["n"]))
-    return df.withColumn("first", first).withColumn("content", F.when(F.col("pos") == F.col("first"), F.concat_ws("\n", "content", noise)).otherwise(F.col("content"))).drop("first")
+    noise = F.concat_ws("", F.transform(picked, lambda x: x["n"]))
+    return df.withColumn("first", first).withColumn("content", F.when(F.col("pos") == F.col("first"), F.concat("content", noise)).otherwise(F.col("content"))).drop("first")
 
 
 def scaled_config(size: Column, tokens: Column, share: Column, factor: float) -> Column:

@@ -105,7 +105,7 @@ def siblings(results: Column, supporting: Column) -> Column:
     return F.filter(results, lambda r, i: ~F.array_contains(supporting, i))
 
 
-def latest_checkpoint(df: DataFrame, name: str) -> DataFrame:
-    """The name with the highest number at its end."""
+def latest_checkpoint(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
+    """The name with the highest number at its end, of each group."""
     number = F.regexp_extract(name, r"(\d+)$", 1).try_cast("long")
-    return df.where(number.isNotNull()).agg(F.max_by(name, number).alias(name))
+    return df.where(number.isNotNull()).groupBy(*(by or [])).agg(F.max_by(name, number).alias(name))

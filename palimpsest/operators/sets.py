@@ -17,6 +17,26 @@ def first_wins(sources: list[DataFrame], key: Column, order: str) -> DataFrame:
     return rows.withColumn("__k", key).withColumn("__r", F.row_number().over(best)).where("__r = 1").drop("__r", "__k")
 
 
+def cascade(sources: list[DataFrame], by: str, key: Column, order: str, n: int, extra: int = 2) -> DataFrame:
+    """Up to n rows for each query ``by``: sources are asked one after the other, each for what is still missing and ``extra`` more, the
+    first of these by order; rows with an empty key or one that is there already go.  Adds source_rank and place (from 1)."""
+    found = None
+    for rank, source in enumerate(sources):
+        rows = source.withColumn("__k", key).withColumn("__i", F.row_number().over(Window.partitionBy(by).orderBy(order)))
+        if found is None:
+            rows = rows.withColumn("__had", F.lit(0))
+        else:
+            rows = rows.join(found.groupBy(by).agg(F.count("*").alias("__had")), by, "left").fillna(0, ["__had"])
+        rows = rows.where((F.col("__had") < n) & (F.col("__i") <= n - F.col("__had") + extra) & (F.col("__k") != ""))
+        if found is not None:
+            rows = rows.join(found.select(by, "__k"), [by, "__k"], "left_anti")
+        rows = rows.withColumn("__r", F.row_number().over(Window.partitionBy(by, "__k").orderBy("__i"))).where("__r = 1")
+        rows = rows.withColumn("place", (F.row_number().over(Window.partitionBy(by).orderBy("__i")) + F.col("__had")).cast("int")).where(F.col("place") <= n)
+        rows = rows.select(*source.columns, "__k", F.lit(rank).alias("source_rank"), "place")
+        found = rows if found is None else found.unionByName(rows)
+    return found.drop("__k")
+
+
 def unseen(rows: DataFrame, done: DataFrame, key: str, prefix: str = "") -> DataFrame:
     """Rows whose key isn't done, with or without a prefix."""
     bare = F.regexp_replace(F.col(key).cast("string"), f"^{prefix}", "")

@@ -32,7 +32,7 @@ def pass_through(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.pass_through(messages(spark, sf_dir))
 
 
-@query(BASE + f", k AS (SELECT *, role IN ('user', 'tool') AND pos >= 1 AND back > 2 AND NOT regexp_matches(content, '{C.ERRORS}') AS was_masked FROM p) SELECT conv, pos AS ord, pos, role, CASE WHEN was_masked THEN '[masked]' ELSE content END AS content, was_masked FROM k")
+@query(BASE + f", k AS (SELECT *, role IN ('user', 'tool') AND pos >= 1 AND back > 2 AND NOT regexp_matches(content, '{C.ERRORS}') AS was_masked FROM p) SELECT conv, pos AS ord, pos, role, CASE WHEN was_masked THEN '<MASKED>' ELSE content END AS content, was_masked FROM k")
 def observation_masking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.masked(messages(spark, sf_dir), 1, 2)
 

@@ -87,3 +87,41 @@ def markdown_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 def repo_callers(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = spark.createDataFrame([(1, "a.py", "def f(x):\n    return f(g(1))"), (1, "b.py", "f()")], "inst int, path string, content string")
     return I.callers(files, spark.createDataFrame([(1, "f"), (1, "g")], "inst int, name string"))
+
+
+#: Each conversation as an instance: hops are its user rows, distractors its assistant rows.
+INSTANCE = """WITH t AS (SELECT conv_id, turn, role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) - 1 AS i FROM conversations),
+h AS (SELECT conv_id, i, 't' || turn AS title, text, 'a' || turn AS answer, count(*) OVER (PARTITION BY conv_id) AS n FROM t WHERE role = 'user'),
+d AS (SELECT conv_id, h.i, 0 AS o, -1 AS j, h.title, h.text FROM h WHERE text <> '' UNION ALL
+  SELECT t.conv_id, t.i % n, 1, t.i, 'Distractor ' || t.i, t.text FROM t JOIN (SELECT DISTINCT conv_id, n FROM h) USING (conv_id) WHERE role = 'assistant'),
+f AS (SELECT conv_id, i, coalesce(string_agg('--- ' || title || ' ---' || chr(10) || d.text, chr(10) || chr(10) ORDER BY o, j), '') AS file, sum(len(regexp_extract_all(d.text, '[^ \\t\\n\\x0b\\f\\r]+'))) AS tokens FROM (SELECT DISTINCT conv_id, i FROM h) x LEFT JOIN d USING (conv_id, i) GROUP BY conv_id, i)
+"""
+
+
+def conversation_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").withColumn("text", F.coalesce("text", F.lit("")))
+    turn = F.col("turn").cast("string")
+    hop = F.struct("turn", F.lit("").alias("question"), F.concat(F.lit("a"), turn).alias("answer"), F.concat(F.lit("t"), turn).alias("title"), "text")
+    other = F.struct("turn", F.lit(None).cast("string").alias("title"), "text")
+    lists = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.when(F.col("role") == "user", hop))).alias("hops"), F.array_sort(F.collect_list(F.when(F.col("role") == "assistant", other))).alias("distractors"))
+    return lists.select("conv_id", F.lit("the answer").alias("answer"), F.transform("hops", lambda h: h.dropFields("turn")).alias("hops"), F.transform("distractors", lambda d: d.dropFields("turn")).alias("distractors"))
+
+
+@query(INSTANCE + "SELECT conv_id, max(n)::INT AS n_turns, string_agg('F' || h.i + 1, ',' ORDER BY h.i) FILTER (h.i < n - 1) AS required, md5(string_agg(file, '|' ORDER BY h.i)) AS files, sum(tokens)::INT AS tokens FROM h JOIN f USING (conv_id, i) GROUP BY conv_id HAVING max(n) > 1")
+def structural_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Instances that no model made: turns, files, and the facts that need memory if each turn sees itself only."""
+    rows = I.structural(conversation_instances(spark, sf_dir))
+    return rows.select("conv_id", F.size("turns").alias("n_turns"), F.concat_ws(",", "required").alias("required"), F.md5(F.concat_ws("|", "files")).alias("files"), "tokens")
+
+
+@query(INSTANCE + "SELECT conv_id, string_agg(title || ': ' || answer, '|' ORDER BY i) AS retained, string_agg(i + 1 || '=' || answer, '|' ORDER BY i) FILTER (i < n - 1) AS answers, string_agg('F' || i + 1 || ':' || i || '-' || i + 1, '|' ORDER BY i) FILTER (i < n - 1) AS bridges, 'x' AS noise FROM h GROUP BY conv_id HAVING max(n) > 1")
+def instance_rubrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the structural instances' answers are judged by."""
+    rows = I.structural(conversation_instances(spark, sf_dir))
+    claims = F.expr("array(named_struct('contradicted_claim', '', 'wrong_claim', 'x'), named_struct('contradicted_claim', null, 'wrong_claim', null))")
+    r = rows.select("conv_id", I.rubric(F.col("answer"), F.col("facts"), claims).alias("r"))
+    joined = lambda c, f: F.concat_ws("|", F.transform(c, f))
+    return r.select(
+        "conv_id", F.concat_ws("|", "r.retention_facts").alias("retained"), joined("r.per_hop_answers", lambda x: F.concat_ws("=", x["hop"].cast("string"), x["answer"])).alias("answers"),
+        joined("r.bridge_dependencies", lambda x: F.concat(x["fact_id"], F.lit(":"), x["from_hop"].cast("string"), F.lit("-"), x["to_hop"].cast("string"))).alias("bridges"), F.concat_ws("|", "r.noise_contradictions").alias("noise"),
+    )

@@ -20,7 +20,7 @@ F1S = """round(coalesce(2 * harmful_precision * harmful_recall / nullif(harmful_
   round(coalesce(2 * safe_precision * safe_recall / nullif(safe_precision + safe_recall, 0), 0), 9) AS safe_f1"""
 AUC = """steps AS (SELECT {by} p, count(*) FILTER (label) AS pos, count(*) FILTER (NOT label) AS neg FROM scored GROUP BY ALL),
  curve AS (SELECT *, sum(pos) OVER ({part} ORDER BY p DESC) AS ctp FROM steps),
- auc AS (SELECT {by} CASE WHEN sum(pos) * sum(neg) > 0 AND count(*) > 1 THEN round(sum(neg * (2 * ctp - pos) / 2) / (sum(pos) * sum(neg)), 9) END AS auroc FROM curve GROUP BY ALL)"""
+ auc AS (SELECT {by} CASE WHEN min(greatest(p, 1 - p)) < max(greatest(p, 1 - p)) THEN CASE WHEN sum(pos) * sum(neg) > 0 THEN round(sum(neg * (2 * ctp - pos) / 2) / (sum(pos) * sum(neg)), 9) ELSE 0.5 END END AS auroc FROM curve GROUP BY ALL)"""
 ECE = """ranked AS (SELECT {by} greatest(p, 1 - p) AS conf, ((p >= 0.5) = label)::INT AS ok, count(*) OVER ({part}) AS cnt,
    row_number() OVER ({part} ORDER BY greatest(p, 1 - p), id) AS rn FROM scored),
  bins AS (SELECT {by} cnt, (rn - 1) // greatest(1, cnt // 15) AS bin, abs(sum(conf) - sum(ok)) AS gap FROM ranked GROUP BY ALL),
@@ -55,12 +55,14 @@ def report_metrics_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(BASE + f", c AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, toxic, grouping(lang) AS g1, grouping(source) AS g2, {COUNTS.format(t=0.5)} FROM scored GROUP BY GROUPING SETS ((lang), (source), (toxic))) SELECT CASE WHEN g1 = 0 THEN 'lang' WHEN g2 = 0 THEN 'source' ELSE 'toxic' END AS kind, CASE WHEN g1 = 0 THEN lang WHEN g2 = 0 THEN source ELSE toxic::VARCHAR END AS slice, n, tp, fp, tn, fn FROM c")
 def breakdown_grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three breakdowns in one pass."""
-    scored(spark, sf_dir).createOrReplaceTempView("scored_rows")
-    return spark.sql("""SELECT CASE WHEN g1 = 0 THEN 'lang' WHEN g2 = 0 THEN 'source' ELSE 'toxic' END AS kind,
-        CASE WHEN g1 = 0 THEN coalesce(lang, '') WHEN g2 = 0 THEN coalesce(source, '') ELSE CAST(toxic AS STRING) END AS slice, n, tp, fp, tn, fn
-      FROM (SELECT lang, source, toxic, grouping(lang) AS g1, grouping(source) AS g2, count(*) AS n, count_if(NOT label AND p < 0.5) AS tp,
-          count_if(label AND p < 0.5) AS fp, count_if(label AND p >= 0.5) AS tn, count_if(NOT label AND p >= 0.5) AS fn
-        FROM scored_rows GROUP BY GROUPING SETS ((lang), (source), (toxic)))""")
+    low = F.col("p") < 0.5
+    label = F.col("label")
+    sets = scored(spark, sf_dir).groupingSets([["lang"], ["source"], ["toxic"]], "lang", "source", "toxic").agg(
+        F.grouping("lang").alias("g1"), F.grouping("source").alias("g2"), F.count("*").alias("n"), F.count_if(~label & low).alias("tp"), F.count_if(label & low).alias("fp"), F.count_if(label & ~low).alias("tn"), F.count_if(~label & ~low).alias("fn")
+    )
+    kind = F.when(F.col("g1") == 0, "lang").when(F.col("g2") == 0, "source").otherwise("toxic")
+    name = F.when(F.col("g1") == 0, F.coalesce("lang", F.lit(""))).when(F.col("g2") == 0, F.coalesce("source", F.lit(""))).otherwise(F.col("toxic").cast("string"))
+    return sets.select(kind.alias("kind"), name.alias("slice"), "n", "tp", "fp", "tn", "fn")
 
 
 @query(BASE + ", c AS (SELECT lang, count(*) AS n, count(*) FILTER (p >= 0.88 OR p <= 1.0 - 0.88::DOUBLE) AS n_covered, count(*) FILTER ((p >= 0.88 OR p <= 1.0 - 0.88::DOUBLE) AND (p >= 0.5) = label) AS k FROM scored GROUP BY lang) SELECT lang, n, n_covered, n_covered / n AS coverage, k / nullif(n_covered, 0) AS accuracy_at FROM c")
@@ -93,7 +95,7 @@ def best_threshold_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.withColumn("delta", F.col("threshold") - 0.5).crossJoin(F.broadcast(spread))
 
 
-@query(BASE + ", e AS (SELECT source, avg(p) AS p, min_by(label, id) AS label FROM scored GROUP BY source), r AS (SELECT *, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2 AS rk FROM e) SELECT count(*) AS n, count(*) FILTER ((p >= 0.5) = label) AS n_right, CASE WHEN count(*) FILTER (label) * count(*) FILTER (NOT label) > 0 THEN round((sum(rk) FILTER (label) - count(*) FILTER (label) * (count(*) FILTER (label) + 1) / 2) / (count(*) FILTER (label) * count(*) FILTER (NOT label)), 9) END AS auroc FROM r")
+@query(BASE + ", e AS (SELECT source, avg(p) AS p, min_by(label, id) AS label FROM scored GROUP BY source), r AS (SELECT *, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2 AS rk FROM e) SELECT count(*) AS n, count(*) FILTER ((p >= 0.5) = label) AS n_right, CASE WHEN min(greatest(p, 1 - p)) < max(greatest(p, 1 - p)) THEN CASE WHEN count(*) FILTER (label) * count(*) FILTER (NOT label) = 0 THEN 0.5 ELSE round((sum(rk) FILTER (label) - count(*) FILTER (label) * (count(*) FILTER (label) + 1) / 2) / (count(*) FILTER (label) * count(*) FILTER (NOT label)), 9) END END AS auroc FROM r")
 def episode_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean score by episode (here: source), first label, and the rank-sum area with tied ranks averaged."""
     e = scored(spark, sf_dir).groupBy("source").agg(F.avg("p").alias("p"), F.min_by("label", "id").alias("label"))
@@ -141,7 +143,7 @@ def bootstrap_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
  v AS (SELECT 'auroc' AS metric, CASE WHEN sum(pos) * sum(neg) > 0 AND count(*) > 1 THEN (sum(neg * (2 * ctp - pos) / 2) / (sum(pos) * sum(neg)))::DOUBLE END AS v FROM h GROUP BY rep), """ + BOUNDS)
 def bootstrap_bounds_auroc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same for the area under the curve."""
-    return rounded(M.bootstrap_interval(scored(spark, sf_dir), M.auroc, ["auroc"]), "lower", "upper")
+    return rounded(M.bootstrap_interval(scored(spark, sf_dir), lambda df, by: M.auroc(df, by, None), ["auroc"]), "lower", "upper")
 
 
 @query("SELECT o_orderpriority AS arm, count(*) AS n, sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END)::BIGINT AS resolved, (count(*) FILTER (o_orderstatus = 'F') / count(*))::DOUBLE AS resolve_rate, min(o_totalprice) AS lo, max(o_totalprice) AS hi, round(avg(o_totalprice) FILTER (o_totalprice > 0), 4) AS mean_over, count(DISTINCT o_custkey) AS instances FROM orders GROUP BY 1")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.functions import text as X
 from palimpsest.operators import perturb as P
 from palimpsest.plans.context import BASE, messages
 from palimpsest.plans.registry import query, table
@@ -81,3 +82,21 @@ def compressed_configs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Limits scaled down, with floors."""
     c = P.scaled_config(F.col("o_orderkey") % 60, F.col("o_custkey") % 4000, F.col("o_orderkey") % 10 / 10.0, 0.5)
     return table(spark, sf_dir, "orders").select("o_orderkey", c.alias("c")).select("o_orderkey", "c.*")
+
+
+SUMMARISED = BASE + ", c AS (SELECT conv, pos, role, CASE WHEN pos % 3 = 1 THEN 'Summary of ' || content || ' in /opt/src/a.py' ELSE content END AS content FROM p)"
+
+
+def summarised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages of which each third one looks like a summary."""
+    return messages(spark, sf_dir).withColumn("content", F.when(F.col("pos") % 3 == 1, F.concat(F.lit("Summary of "), "content", F.lit(" in /opt/src/a.py"))).otherwise(F.col("content")))
+
+
+@query(SUMMARISED + ", n AS (SELECT conv, noise FROM (SELECT DISTINCT conv FROM c), LATERAL (SELECT string_agg(s, '' ORDER BY md5(s || conv || ':42')) AS noise FROM (SELECT s FROM (VALUES " + ", ".join("('" + s.replace("\n", "' || chr(10) || '") + "')" for s in P.NOISE) + f") v(s) ORDER BY md5(s || conv || ':42') LIMIT 2)) l), f AS (SELECT conv, min(pos) AS pos FROM c WHERE regexp_matches(content, '{P.NOISY}') GROUP BY conv) SELECT c.conv, c.pos, role, CASE WHEN f.pos IS NULL THEN content ELSE content || noise END AS content FROM c JOIN n USING (conv) LEFT JOIN f ON f.conv = c.conv AND f.pos = c.pos")
+def summary_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.noisy_summary(summarised(spark, sf_dir))
+
+
+@query(SUMMARISED + f" SELECT conv, pos, role, CASE WHEN regexp_matches(content, '{P.SUMMARY}') THEN regexp_replace(regexp_replace(regexp_replace(content, '{X.PATHS}', '<REDACTED_PATH>', 'g'), '{X.ERRORS}', '<REDACTED_ERROR>', 'g'), '{X.FUNCTIONS}', '<REDACTED_FUNC>', 'g') ELSE content END AS content FROM c")
+def summary_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.redacted_summaries(summarised(spark, sf_dir))

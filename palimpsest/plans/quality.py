@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.functions import text as X
 from palimpsest.operators import quality as Q
 from palimpsest.plans.registry import query, table
 
@@ -83,3 +84,35 @@ def keyword_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(said(answer).alias("said"), F.lower(said(~answer)).alias("asked"))
     c = c.select("conv_id", "asked", identifiers(F.col("said"), 12).alias("i"))
     return c.select("conv_id", F.size("i").cast("long").alias("n"), F.size(F.filter("i", lambda x: F.contains(F.col("asked"), F.lower(x)))).cast("long").alias("n_leaked"))
+
+
+@query("SELECT doc_id, n_chars % 600 >= 8 AND n_chars % 600 <= 500 AND doc_id % 4 >= 2 AND doc_id % 5 >= 2 AND length(coalesce(text, '')) >= 200 AS passes FROM documents")
+def patch_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes made of numbers of documents, the text as the problem."""
+    docs = table(spark, sf_dir, "documents")
+    passes = Q.patch_gate(F.col("n_chars") % 600, F.col("doc_id") % 4, F.col("doc_id") % 5, F.coalesce("text", F.lit("")))
+    return docs.select("doc_id", passes.alias("passes"))
+
+
+@query("SELECT lang, 'checkpoint-' || max(doc_id) AS name FROM documents WHERE lang IS NOT NULL GROUP BY lang")
+def latest_checkpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each language the checkpoint with the highest number; names without a number don't count."""
+    docs = table(spark, sf_dir, "documents").where("lang IS NOT NULL")
+    names = docs.select("lang", F.explode(F.array(F.concat(F.lit("checkpoint-"), "doc_id"), F.lit("final"))).alias("name"))
+    return Q.latest_checkpoint(names, "name", ["lang"])
+
+
+@query("SELECT conv_id, string_agg(turn::VARCHAR, ',' ORDER BY turn) FILTER (place % 3 <> 1) AS siblings FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS place FROM conversations) GROUP BY conv_id")
+def hop_siblings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns whose place isn't among the supporting ones (1, 4, 7, ...)."""
+    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list("turn")).alias("turns"))
+    supporting = F.filter(F.sequence(F.lit(0), F.size("turns")), lambda i: i % 3 == 1)
+    left = F.transform(Q.siblings(F.col("turns"), supporting), lambda t: t.cast("string"))
+    return rows.select("conv_id", F.when(F.size(left) > 0, F.concat_ws(",", left)).alias("siblings"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'haiku' WHEN doc_id % 4 = 1 THEN 'gptoss' WHEN doc_id % 4 = 2 THEN 'sonnet' ELSE lower(split_part(coalesce(source, 'none'), '_', 1)) END AS family FROM documents")
+def source_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Folders of runs, made of ids and sources."""
+    name = F.when(F.col("doc_id") % 4 == 0, "Haiku45_run").when(F.col("doc_id") % 4 == 1, "gpt-oss_x_y").when(F.col("doc_id") % 4 == 2, "sonnet4").otherwise(F.concat(F.upper(F.coalesce("source", F.lit("none"))), F.lit("_run")))
+    return table(spark, sf_dir, "documents").select("doc_id", X.source_model(name).alias("family"))

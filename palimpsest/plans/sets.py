@@ -18,6 +18,24 @@ def combined_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sets.first_wins([s, c], F.lower(F.trim("title")), "id")
 
 
+CASCADE = """WITH a AS (SELECT s_nationkey % 5 AS q, s_suppkey AS id, CASE WHEN s_suppkey % 9 = 0 THEN ' ' ELSE ' Part' || s_suppkey % 4 END AS title FROM supplier),
+b AS (SELECT c_nationkey % 5 AS q, c_custkey AS id, 'PART' || c_custkey % 30 AS title FROM customer),
+a1 AS (SELECT *, lower(trim(title)) AS k, row_number() OVER (PARTITION BY q ORDER BY id) AS i FROM a), a2 AS (SELECT *, row_number() OVER (PARTITION BY q, k ORDER BY i) AS r FROM a1 WHERE i <= 9 AND k <> ''),
+a3 AS (SELECT q, id, title, k, 0 AS source_rank, row_number() OVER (PARTITION BY q ORDER BY i) AS place FROM a2 WHERE r = 1), a4 AS (SELECT * FROM a3 WHERE place <= 7), had AS (SELECT q, count(*) AS h FROM a4 GROUP BY q),
+b1 AS (SELECT b.*, lower(trim(title)) AS k, row_number() OVER (PARTITION BY q ORDER BY id) AS i FROM b), b2 AS (SELECT b1.*, coalesce(h, 0) AS h FROM b1 LEFT JOIN had USING (q)),
+b3 AS (SELECT *, row_number() OVER (PARTITION BY q, k ORDER BY i) AS r FROM b2 WHERE h < 7 AND i <= 9 - h AND k <> '' AND NOT EXISTS (SELECT 1 FROM a4 WHERE a4.q = b2.q AND a4.k = b2.k)),
+b4 AS (SELECT q, id, title, 1 AS source_rank, h + row_number() OVER (PARTITION BY q ORDER BY i) AS place FROM b3 WHERE r = 1)
+SELECT q, id, title, source_rank, place::INT AS place FROM a4 UNION ALL SELECT q, id, title, source_rank, place::INT FROM b4 WHERE place <= 7"""
+
+
+@query(CASCADE)
+def cascaded_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seven results for each of five queries, from two sources one after the other."""
+    a = table(spark, sf_dir, "supplier").select((F.col("s_nationkey") % 5).alias("q"), F.col("s_suppkey").alias("id"), F.when(F.col("s_suppkey") % 9 == 0, " ").otherwise(F.concat(F.lit(" Part"), F.col("s_suppkey") % 4)).alias("title"))
+    b = table(spark, sf_dir, "customer").select((F.col("c_nationkey") % 5).alias("q"), F.col("c_custkey").alias("id"), F.concat(F.lit("PART"), F.col("c_custkey") % 30).alias("title"))
+    return sets.cascade([a, b], "q", F.lower(F.trim("title")), "id", 7)
+
+
 @query("SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def resume_remaining(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a resumed run has still to do."""

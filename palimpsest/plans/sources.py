@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.cluster import shared_folder
 from palimpsest.plans.registry import query, table
 from palimpsest.sources import readers, sinks
 
@@ -47,11 +48,53 @@ def inverted_abstracts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.select("item_id", readers.from_inverted(F.col("m")).alias("text"))
 
 
-@query("SELECT * FROM (VALUES ('1', 'T one', 'A & b', '2020'), ('2', 'T two', '', '2021')) t(ident, title, abstract, year)")
+@query("SELECT item_id::VARCHAR AS ident, text AS title, 'PART & <b>: ' || text || ' end' AS abstract, CASE WHEN item_id % 3 > 0 THEN (2000 + item_id % 20)::INT END AS year FROM benchmark")
 def xml_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    xml = "<Set><PubmedArticle><PMID>1</PMID><ArticleTitle>T one</ArticleTitle><AbstractText Label='x'>A &amp; b</AbstractText><Year>2020</Year></PubmedArticle><PubmedArticle><PMID>2</PMID><ArticleTitle>T two</ArticleTitle><Year>2021</Year></PubmedArticle></Set>"
-    rows = readers.articles(spark.createDataFrame([(xml,), ("<Set/>",)], "xml string"), "xml")
-    return rows.withColumn("abstract", F.replace("abstract", F.lit("&amp;"), F.lit("&")))
+    """Items written as XML with entities, labels and nested tags, and read again."""
+    escaped = F.replace(F.replace(F.col("text"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    year = F.when(F.col("item_id") % 3 > 0, F.concat(F.lit("<PubDate><Year>"), 2000 + F.col("item_id") % 20, F.lit("</Year></PubDate>"))).otherwise(F.lit("<Year>1</Year>"))
+    xml = F.concat(F.lit("<Set><PubmedArticle><PMID>"), "item_id", F.lit("</PMID><ArticleTitle>"), escaped, F.lit("<i>left out</i> too</ArticleTitle>"), F.lit("<A><AbstractText Label='PART &amp; &lt;b&gt;'>"), escaped, F.lit("</AbstractText><AbstractText>end</AbstractText></A>"), year, F.lit("</PubmedArticle></Set>"))
+    return readers.articles(table(spark, sf_dir, "benchmark").select(xml.alias("xml")), "xml")
+
+
+@query("SELECT doc_id // 60 AS report, doc_id::VARCHAR AS id, quality = 1 AS resolved FROM labels")
+def report_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports of sixty labels, in three shapes in turn."""
+    rows = table(spark, sf_dir, "labels").select(F.floor(F.col("doc_id") / 60).alias("report"), F.col("doc_id").cast("string").alias("id"), F.col("quality").alias("q"))
+    shape = F.col("report") % 3
+    of = lambda k, c: F.when(shape == k, c)
+    reports = rows.groupBy("report").agg(F.collect_list(F.when(F.col("q") == 1, F.col("id"))).alias("a"), F.collect_list("id").alias("b"), F.collect_list(F.struct(F.col("id").alias("instance_id"), (F.col("q") * 1.0).cast("double").alias("reward"))).alias("c"), F.collect_list(F.struct(F.col("id").alias("instance_id"), (F.col("q") == 1).alias("resolved"))).alias("d"))
+    reports = reports.select("report", of(0, F.col("a")).alias("resolved_ids"), of(0, F.col("b")).alias("completed_ids"), F.lit(None).cast("array<string>").alias("unresolved_ids"), of(1, F.col("c")).alias("instance_results"), of(2, F.col("d")).alias("results"))
+    return readers.resolved_set(reports)
+
+
+@query("""WITH e AS (SELECT (doc_id % 500)::VARCHAR AS id, doc_id // 500 AS place, (CASE WHEN doc_id % 7 = 0 THEN 0 WHEN quality = 1 THEN 1 ELSE 2 END) AS step FROM labels)
+SELECT id, coalesce(arg_max(step = 1, place * 3 + step) FILTER (step > 0), false) AS resolved FROM e GROUP BY id""")
+def latest_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports one after the other over the same ids: a later one holds, unresolved after resolved, and errors only where nothing else is said."""
+    rows = table(spark, sf_dir, "labels").select((F.col("doc_id") % 500).cast("string").alias("id"), F.floor(F.col("doc_id") / 500).alias("place"), F.col("quality").alias("q"), (F.col("doc_id") % 7 == 0).alias("error"))
+    each = lambda c: F.collect_list(F.when(c, F.col("id")))
+    reports = rows.groupBy("place").agg(each(~F.col("error") & (F.col("q") == 1)).alias("a"), each(~F.col("error") & (F.col("q") != 1)).alias("unresolved_ids"), each(F.col("error")).alias("error_ids"), F.collect_list(F.when(~F.col("error"), F.struct(F.col("id").alias("instance_id"), F.col("q").cast("double").alias("reward")))).alias("r"))
+    # each fourth report without errors is in the old shape
+    old = (F.col("place") % 4 == 3) & (F.size("error_ids") == 0)
+    return readers.latest_resolved(reports.select("place", F.when(~old, F.col("a")).alias("resolved_ids"), "unresolved_ids", "error_ids", F.when(old, F.col("r")).alias("results")))
+
+
+@query("SELECT doc_id AS id, quality = 1 AS resolved, 1 AS authority FROM labels WHERE doc_id % 3 = 1")
+def resolved_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No report is given, so the newest of the found ones holds; a run's own rewards come last."""
+    rows = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), (F.col("quality") == 1).alias("resolved"), F.col("quality").cast("double").alias("reward"), (F.col("doc_id") % 3).alias("k"))
+    files = rows.select(F.when(F.col("k") == 0, "a_reeval.json").when(F.col("k") == 1, "b_reeval.json").otherwise("summary_reeval.json").alias("name"), F.col("k").alias("changed"), "id", "resolved")
+    return readers.first_source([rows.where("false").select("id", "resolved"), readers.newest_report(files), readers.graded(rows)])
+
+
+@query("SELECT doc_id, lang, source, 1 AS label, 1.0::DOUBLE AS weight FROM documents")
+def json_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows written as JSON lines, with a field of another table by key, and read again with defaults."""
+    docs = table(spark, sf_dir, "documents")
+    folder = shared_folder(spark, "json")
+    sinks.write_jsonl(docs.select("doc_id", "lang"), folder, docs.select("doc_id", "source"), "doc_id")
+    return sinks.read_examples(spark, folder, "doc_id long, lang string, source string, label int, weight double")
 
 
 @query("SELECT conv_id, count(*) AS n, md5(string_agg(role || chr(9) || text, chr(10) ORDER BY turn)) AS digest FROM conversations GROUP BY 1")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -58,6 +60,57 @@ def resolved(reports: DataFrame) -> DataFrame:
     return rows.groupBy("id").agg(F.min_by("resolved", "rank").alias("resolved"))
 
 
+def resolved_set(reports: DataFrame) -> DataFrame:
+    """Rows (report, id, resolved) of all that each report's run completed.
+
+    Of three shapes the first one that a report has counts: resolved_ids (with completed_ids and unresolved_ids), instance_results
+    (a reward of 1.0 or more), results (resolved); a report without any fails the query."""
+    none = F.array().cast("array<string>")
+    flag = lambda c, value: F.transform(F.coalesce(c, none), lambda i: F.struct(i.alias("id"), F.lit(value).alias("resolved")))
+    lists = F.concat(flag(F.col("resolved_ids"), True), flag(F.col("completed_ids"), False), flag(F.col("unresolved_ids"), False))
+    rewards = F.transform("instance_results", lambda r: F.struct(r["instance_id"].alias("id"), (F.coalesce(r["reward"], F.lit(0.0)) >= 1.0).alias("resolved")))
+    flags = F.transform("results", lambda r: F.struct(r["instance_id"].alias("id"), F.coalesce(r["resolved"], F.lit(False)).alias("resolved")))
+    unknown = F.raise_error(F.concat(F.lit("report of unknown shape: "), F.col("report").cast("string")))
+    found = F.when(F.col("resolved_ids").isNotNull(), lists).when(F.col("instance_results").isNotNull(), rewards).when(F.col("results").isNotNull(), flags).otherwise(unknown)
+    return reports.select("report", F.explode(found).alias("r")).groupBy("report", "r.id").agg(F.max("r.resolved").alias("resolved"))
+
+
+def latest_resolved(reports: DataFrame) -> DataFrame:
+    """Rows (id, resolved) of reports in order of ``place``: what is written later holds, in a report first resolved_ids, then
+    unresolved_ids; error_ids make an id false only if nothing else is said of it.  A report without resolved_ids has results with a reward (above 0)."""
+    none = F.array().cast("array<string>")
+    each = lambda c, step, value: F.transform(F.coalesce(c, none), lambda i: F.struct(i.alias("id"), F.lit(step).alias("step"), F.lit(value).alias("resolved")))
+    lists = F.concat(each(F.col("resolved_ids"), 1, True), each(F.col("unresolved_ids"), 2, False), each(F.col("error_ids"), 0, False))
+    legacy = F.transform("results", lambda r: F.struct(r["instance_id"].alias("id"), F.lit(1).alias("step"), (F.coalesce(r["reward"], F.lit(0.0)) > 0).alias("resolved")))
+    rows = reports.select("place", F.explode(F.when(F.col("resolved_ids").isNotNull(), lists).otherwise(legacy)).alias("r")).select("place", "r.*").where("id <> ''")
+    # errors come before all places
+    return rows.groupBy("id").agg(F.max_by("resolved", F.struct(F.col("step") > 0, "place", "step")).alias("resolved"))
+
+
+# What a report's file name has, and what it doesn't have.
+REPORT = "reeval"
+NO_REPORT = r"_training|_replay|_forked|\.traj|summary|preds"
+
+
+def newest_report(rows: DataFrame) -> DataFrame:
+    """Rows (id, resolved) of the file that changed last, of rows (name, changed, id, resolved) of many files; only files named as reports count."""
+    rows = rows.where(F.contains("name", F.lit(REPORT)) & ~F.regexp_like("name", F.lit(NO_REPORT)))
+    last = rows.agg(F.max_by("name", F.struct("changed", "name")).alias("last"))
+    return rows.join(F.broadcast(last), F.col("name") == F.col("last")).select("id", "resolved")
+
+
+def graded(rows: DataFrame) -> DataFrame:
+    """Rows (id, resolved) of a run's own rewards: 0.5 or more."""
+    return rows.select("id", (F.coalesce("reward", F.lit(0.0)) >= 0.5).alias("resolved"))
+
+
+def first_source(sources: list[DataFrame]) -> DataFrame:
+    """The rows of the first source that has any, with its place as ``authority``."""
+    tagged = [s.withColumn("authority", F.lit(i)) for i, s in enumerate(sources)]
+    rows = reduce(DataFrame.unionByName, tagged)
+    return rows.join(F.broadcast(rows.agg(F.min("authority").alias("authority"))), "authority").select(*sources[0].columns, "authority")
+
+
 def by_authority(sources: list[DataFrame], key: str, value: str) -> DataFrame:
     """Of sources in order of authority, the first one's value for each key."""
     rows = None
@@ -74,13 +127,21 @@ def from_inverted(index: Column) -> Column:
 
 
 def articles(xml: DataFrame, column: str) -> DataFrame:
-    """Rows (ident, title, abstract, year) of XML article lists."""
-    n = F.xpath_int(column, F.lit("count(//PubmedArticle)"))
-    rows = xml.withColumn("n", n).where("n > 0").withColumn("i", F.explode(F.sequence(F.lit(1), F.col("n"))))
-    at = lambda path: F.expr(f"xpath_string({column}, concat('(//PubmedArticle)[', i, ']', '{path}'))")
-    part = lambda tag: F.regexp_extract(F.get(F.regexp_extract_all(column, F.lit("(?s)(<PubmedArticle>.*?</PubmedArticle>)"), 1), F.col("i") - 1), f"(?s)<{tag}[^>]*>(.*?)</{tag}>", 1)
-    del at
-    return rows.select(*[c for c in xml.columns if c != column], part("PMID").alias("ident"), part("ArticleTitle").alias("title"), part("AbstractText").alias("abstract"), part("Year").alias("year"))
+    """Rows (ident, title, abstract, year) of XML article lists: entities are undone, an element's text goes to its first child,
+    labelled parts of an abstract are "label: text", joined by spaces.  An article that isn't XML fails the query."""
+    one = F.explode(F.regexp_extract_all(column, F.lit(r"(?s)<PubmedArticle\b[^>]*>.*?</PubmedArticle>"), 0)).alias("__article")
+    rows = xml.select(*[c for c in xml.columns if c != column], one)
+    first = lambda c, path: F.xpath_string(c, F.lit(f"({path})[1]/node()[1][self::text()]"))
+    parts = F.regexp_extract_all("__article", F.lit(r"(?s)<AbstractText\b(?:[^>]*/>|.*?</AbstractText>)"), 0)
+
+    def part(p: Column) -> Column:
+        label = F.xpath_string(p, F.lit("/AbstractText/@Label"))
+        return F.concat(F.when(label == "", label).otherwise(F.concat(label, F.lit(": "))), first(p, "/AbstractText"))
+
+    year = F.nullif(first(F.col("__article"), "//PubDate/Year"), F.lit("")).cast("int")
+    return rows.select(
+        *[c for c in xml.columns if c != column], first(F.col("__article"), "//PMID").alias("ident"), first(F.col("__article"), "//ArticleTitle").alias("title"), F.concat_ws(" ", F.transform(parts, part)).alias("abstract"), year.alias("year")
+    )
 
 
 def source_plan(spec: str, known: dict[str, DataFrame]) -> list[DataFrame]:

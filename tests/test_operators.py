@@ -29,6 +29,10 @@ def test_metrics_of_a_perfect_scorer(spark):
 def test_metrics_where_undefined(spark):
     one = spark.createDataFrame([(1, True, 0.5)], "id long, label boolean, p double")
     assert metrics.auroc(one).first().auroc is None
+    one_class = spark.createDataFrame([(1, True, 0.9), (2, True, 0.7)], "id int, label boolean, p double")
+    assert metrics.auroc(one_class).first().auroc == 0.5 and metrics.auroc(one_class, one_class=None).first().auroc is None
+    mirrored = spark.createDataFrame([(1, True, 0.75), (2, False, 0.25)], "id int, label boolean, p double")
+    assert metrics.auroc(mirrored).first().auroc is None
     assert metrics.coverage(one, 0.88).first().accuracy_at is None
     empty = scored(spark).where("false")
     assert metrics.confusion(empty).first().accuracy == 0.0
@@ -82,7 +86,7 @@ def test_naive_tail_repeats_the_head_of_a_short_conversation(spark):
 
 def test_masking_keeps_errors(spark):
     df = conversation(spark, ("user", "q"), ("tool", "fine"), ("tool", "it FAILED"), ("user", "z"))
-    assert [r.content for r in context.masked(df, 1, 1).orderBy("pos").collect()] == ["q", "[masked]", "it FAILED", "z"]
+    assert [r.content for r in context.masked(df, 1, 1).orderBy("pos").collect()] == ["q", "<MASKED>", "it FAILED", "z"]
 
 
 def test_as_of_ties_and_gaps(spark):
@@ -197,7 +201,7 @@ def test_bootstrap_bounds_are_sorted_places_and_null_if_mostly_undefined(spark):
     assert got[1].metric == "harmful_f1" and 0 < got[1].lower < got[1].upper < 1
     area = metrics.auroc(df).first().auroc
     assert metrics.bootstrap_interval(df, metrics.auroc, ["auroc"]).where(F.col("lower").between(0, area) & F.col("upper").between(area, 1)).count() == 1
-    one_class = metrics.bootstrap_interval(df.where("label"), metrics.auroc, ["auroc"]).first()
+    one_class = metrics.bootstrap_interval(df.where("label"), lambda d, by: metrics.auroc(d, by, None), ["auroc"]).first()
     assert (one_class.defined, one_class.lower, one_class.upper) == (0, None, None)
 
 
