@@ -52,7 +52,7 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     edits = F.array(edit(n / 3, 0, " some words put in"), edit(n / 2, 12, "'ll be\n\n  replaced 2024"), edit(n * 2 / 3, 40, ""))
     after = token_counts.edited(spark.read.parquet(folder).withColumn("edits", edits), *tokenizer())
     digest = F.sha2(F.col("text").cast("binary"), 256)
-    return after.select("doc_id", "n_tokens", "n_tokens_after", F.length("text").cast("long").alias("n_chars_after"), digest.alias("text_after_sha256"), F.size("counts").cast("long").alias("n_leaves"), "encoded_chars")
+    return after.select("doc_id", "n_tokens", "n_tokens_after", F.length("text").cast("long").alias("n_chars_after"), digest.alias("text_after_sha256"), F.size("counts").cast("long").alias("n_leaves"))
 
 
 def op4_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
