@@ -19,11 +19,11 @@ def outcome(base: Column, memory: Column) -> Column:
 
 def reward_pairs(base: DataFrame, other: DataFrame, key: str, keep_zero: bool = True, most: int = 2000) -> DataFrame:
     """Steps (key, step, action, reward) of both runs joined; rows without reward or with a blank action go, label is whether the
-    other run's reward is not below (keep_zero) or above the base's; actions are cut."""
+    other run's reward is not below (keep_zero) or above the base's (by 1e-9 at least); actions are cut."""
     b = base.select(key, "step", F.col("action").alias("base_action"), F.col("reward").alias("base_reward"))
     rows = b.join(other.select(key, "step", "reward"), [key, "step"]).where("reward IS NOT NULL AND base_reward IS NOT NULL AND trim(base_action) <> ''")
     rows = rows.withColumn("delta", F.col("reward") - F.col("base_reward"))
-    rows = rows if keep_zero else rows.where("delta <> 0")
+    rows = rows if keep_zero else rows.where("abs(delta) >= 1e-9")
     return rows.select(key, "step", F.substring("base_action", 1, most).alias("action"), "delta", (F.col("delta") >= 0).alias("safe"))
 
 

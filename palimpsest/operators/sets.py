@@ -52,12 +52,24 @@ def splits(df: DataFrame, group: str, share: float = 0.1) -> DataFrame:
 
 
 def manifest(split: DataFrame, group: str) -> DataFrame:
-    """SHA-256 over the sorted lines "group tab split" of each block of groups (by the first two digits of the group's own SHA-256), and groups
-    that are in more than one split.  The manifest of the whole is the SHA-256 of the blocks' digests; a block never holds all lines."""
+    """SHA-256 over all sorted lines "group tab split", their number, and the number of groups that are in more than one split.
+
+    Lines are sorted by range and read by one task, which holds the digest's state only and never all lines."""
     lines = split.groupBy(group).agg(F.min("split").alias("split"), F.count_distinct("split").alias("splits"))
-    line = F.concat(F.col(group), F.lit("\t"), F.col("split"), F.lit("\n"))
-    blocks = lines.groupBy(F.substring(F.sha2(F.col(group), 256), 1, 2).alias("block")).agg(F.sha2(F.concat_ws("", F.array_sort(F.collect_list(line))), 256).alias("digest"), F.count("*").alias("n_groups"), F.count_if(F.col("splits") > 1).alias("n_mixed"))
-    return blocks.agg(F.sha2(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("block", "digest"))), lambda b: b["digest"])), 256).alias("sha256"), F.sum("n_groups").alias("n_groups"), F.sum("n_mixed").alias("n_mixed"))
+    lines = lines.select(F.concat(F.col(group), F.lit("\t"), F.col("split"), F.lit("\n")).alias("line"), (F.col("splits") > 1).alias("mixed"))
+
+    def digest(batches):
+        import hashlib
+
+        import pyarrow as pa
+
+        found, n, mixed = hashlib.sha256(), 0, 0
+        for batch in batches:
+            found.update("".join(batch.column(0).to_pylist()).encode())
+            n, mixed = n + batch.num_rows, mixed + sum(batch.column(1).to_pylist())
+        yield pa.RecordBatch.from_pydict({"sha256": [found.hexdigest()], "n_groups": [n], "n_mixed": [mixed]})
+
+    return lines.orderBy("line").coalesce(1).mapInArrow(digest, "sha256 string, n_groups long, n_mixed long")
 
 
 def draw(key: Column, seed: int) -> Column:

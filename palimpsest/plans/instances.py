@@ -30,7 +30,7 @@ def baseline_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.compared(runs, base, "id")
 
 
-@query(f"""WITH c AS (SELECT item_id, list_distinct({TERMS.format(t='text')}) AS w FROM benchmark), x AS (SELECT item_id, unnest(w) AS word FROM c), r AS (SELECT word FROM x GROUP BY 1 HAVING count(*) BETWEEN 2 AND 20),
+@query(f"""WITH c AS (SELECT item_id, list_distinct({TERMS.format(t='text')}) AS w FROM benchmark), x AS (SELECT item_id, unnest(w) AS word FROM c), r AS (SELECT word FROM x GROUP BY 1 HAVING count(*) > 1),
 p AS (SELECT DISTINCT a.item_id AS a, b.item_id AS b FROM x a JOIN r USING (word) JOIN x b ON a.word = b.word AND a.item_id <> b.item_id), s AS (SELECT a, b, len(list_intersect(u.w, v.w)) AS shared FROM p JOIN c u ON u.item_id = a JOIN c v ON v.item_id = b),
 o AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY shared DESC, b) AS rank FROM s) SELECT a AS item_id, b AS other, shared::INT AS shared, rank::INT AS rank FROM o WHERE rank <= 3""")
 def cross_instance_distractors(spark: SparkSession, sf_dir: str) -> DataFrame:

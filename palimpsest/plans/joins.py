@@ -44,7 +44,7 @@ def token_reward(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REWARD = """WITH s AS (SELECT user_id AS id, row_number() OVER (PARTITION BY user_id, event_id % 2 ORDER BY ts, event_id) AS step, event_type || ' ' || props AS action, value AS reward, event_id % 2 AS side FROM events),
-j AS (SELECT b.id, b.step, substr(b.action, 1, 12) AS action, m.reward - b.reward AS delta FROM s b JOIN s m ON b.id = m.id AND b.step = m.step AND b.side = 0 AND m.side = 1 WHERE m.reward IS NOT NULL AND b.reward IS NOT NULL AND trim(b.action) <> '')
+j AS (SELECT b.id, b.step, substr(b.action, 1, 2000) AS action, m.reward - b.reward AS delta FROM s b JOIN s m ON b.id = m.id AND b.step = m.step AND b.side = 0 AND m.side = 1 WHERE m.reward IS NOT NULL AND b.reward IS NOT NULL AND trim(b.action) <> '')
 """
 
 
@@ -60,13 +60,13 @@ def sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 @query(REWARD + "SELECT id, step, action, delta, delta >= 0 AS safe FROM j")
 def memory_gain_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs by step where an equal reward is safe."""
-    return P.reward_pairs(*sides(spark, sf_dir), "id", most=12)
+    return P.reward_pairs(*sides(spark, sf_dir), "id")
 
 
-@query(REWARD + "SELECT id, step, action, delta, delta >= 0 AS safe FROM j WHERE delta <> 0")
+@query(REWARD + "SELECT id, step, action, delta, delta >= 0 AS safe FROM j WHERE abs(delta) >= 1e-9")
 def strategy_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs by step where an equal reward says nothing."""
-    return P.reward_pairs(*sides(spark, sf_dir), "id", keep_zero=False, most=12)
+    return P.reward_pairs(*sides(spark, sf_dir), "id", keep_zero=False)
 
 
 @query("WITH s AS (SELECT user_id AS id, event_type, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) - 1 AS k, event_id FROM events WHERE event_type IN ('click', 'view')) SELECT a.id, a.k, a.event_id AS left_value, b.event_id AS right_value FROM s a JOIN s b ON a.id = b.id AND a.k = b.k AND a.event_type = 'click' AND b.event_type = 'view'")

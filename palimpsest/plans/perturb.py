@@ -23,9 +23,9 @@ def context_truncation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.first_and_last(messages(spark, sf_dir), 2)
 
 
-@query(BASE + ", b AS (SELECT conv, string_agg('[' || upper(role) || ']' || chr(10) || content, chr(10) || chr(10) ORDER BY pos) AS p FROM p GROUP BY conv) SELECT conv, substr(p, 1, 2000) AS prompt, length(p) > 2000 AS truncated FROM b")
+@query(BASE + ", b AS (SELECT conv, string_agg('[' || upper(role) || ']' || chr(10) || content, chr(10) || chr(10) ORDER BY pos) AS p FROM p GROUP BY conv) SELECT conv, substr(p, 1, 24000) AS prompt, length(p) > 24000 AS truncated FROM b")
 def memory_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.rendered(messages(spark, sf_dir), 2000)
+    return P.rendered(messages(spark, sf_dir))
 
 
 @query(BASE + ", x AS (SELECT conv, pos, sum(tok) OVER (PARTITION BY conv ORDER BY pos) AS prefix FROM p) SELECT conv, max(prefix)::BIGINT AS peak, sum(prefix)::BIGINT AS naive, count(*) AS steps, (sum(prefix) / nullif(max(prefix), 0))::DOUBLE AS ratio FROM x GROUP BY conv")

@@ -228,3 +228,48 @@ def test_checkpoint_folder(spark, monkeypatch):
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         cluster.checkpoint_dir(Session)
+
+
+def test_match_terms_by_brute_force(spark):
+    docs = {1: "red blue green", 2: "blue RED", 3: "yellow", 4: "", 5: None}
+    asked = {10: "red blue", 11: "red yellow blue", 12: "red black", 13: "none of these"}
+    got = {(r.q, r.doc): (r.found, r["mode"]) for r in retrieval.match_terms(spark.createDataFrame(list(docs.items()), "doc long, text string"), spark.createDataFrame(list(asked.items()), "q long, ask string"), "doc", "text", "q", "ask").collect()}
+    want = {}
+    for q, a in asked.items():
+        terms = set(a.split())
+        found = {d: len(terms & set((t or "").lower().split())) for d, t in docs.items()}
+        strict = [d for d, n in found.items() if n == len(terms)]
+        want |= {(q, d): (found[d], "and") for d in strict} if strict else {(q, d): (n, "or") for d, n in found.items() if n and len(terms) >= 3}
+    assert got == want
+
+
+def test_manifest_of_many_groups(spark):
+    import hashlib
+
+    rows = [(f"g{k * 37 % 5000}", "eval" if k % 10 == 0 else "train") for k in range(5000)] + [("g1", "other")]
+    got = sets.manifest(spark.createDataFrame(rows, "source string, split string").repartition(7), "source").first()
+    split = {}
+    for g, s in rows:
+        split[g] = min(split.get(g, s), s)
+    lines = sorted(f"{g}\t{s}\n" for g, s in split.items())
+    assert (got.sha256, got.n_groups, got.n_mixed) == (hashlib.sha256("".join(lines).encode()).hexdigest(), 5000, 1)
+
+
+def test_actions_and_prompts_are_cut(spark):
+    from palimpsest.operators import pairs as P
+    from palimpsest.operators import perturb
+
+    base = spark.createDataFrame([(1, 1, "x" * 3000, 1.0), (1, 2, "y", 1.0)], "id long, step long, action string, reward double")
+    other = spark.createDataFrame([(1, 1, "z", 2.0), (1, 2, "z", 1.0 + 1e-12)], "id long, step long, action string, reward double")
+    assert [len(r.action) for r in P.reward_pairs(base, other, "id").orderBy("step").collect()] == [2000, 1]
+    assert P.reward_pairs(base, other, "id", keep_zero=False).count() == 1
+    out = perturb.rendered(conversation(spark, ("user", "w" * 30_000))).first()
+    assert len(out.prompt) == 24_000 and out.truncated
+
+
+def test_structural_window(spark):
+    hops = [(f"q{k}", f"a{k}", f"t{k}", "some text") for k in range(4)]
+    df = spark.createDataFrame([(1, "x", hops, [(None, "d0"), ("n", "d1")])], "id int, answer string, hops array<struct<question: string, answer: string, title: string, text: string>>, distractors array<struct<title: string, text: string>>")
+    out = instances.structural(df).first()
+    assert out.required == ["F1", "F2", "F3"] and out.files[0] == "--- t0 ---\nsome text\n\n--- Distractor 0 ---\nd0" and out.tokens == 10
+    assert instances.structural(df, window=2).count() == 0
