@@ -54,10 +54,11 @@ def distractor_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.padded_sample(pool, table(spark, sf_dir, "supplier").select("s_suppkey", F.lit("k").alias("kind"), F.lit(4).alias("n")), "s_suppkey")
 
 
-@query("SELECT * FROM (VALUES (1, 'Bob met Ann Lee and annlee'), (2, NULL)) t(id, text)")
+@query(r"SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(text, '(?i)\blicensed\b', 'TERMS_OF', 'g'), '(?i)\blicense\b', 'LICENCE', 'g'), '(?i)\bcopyright\b', 'Rights', 'g')) AS digest FROM documents")
 def dictionary_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = spark.createDataFrame([(1, "ALICE met bob jones and annlee"), (2, None)], "id int, text string")
-    return I.substituted(df, "text", {"alice": "Bob", "Bob": "Carl", "bob jones": "Ann Lee", "ann": "Zoe"})
+    """Three words of whole documents, whatever their case."""
+    rows = I.substituted(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", {"license": "LICENCE", "Licensed": "TERMS_OF", "copyright": "Rights"})
+    return rows.select("doc_id", F.md5("text").alias("digest"))
 
 
 @query("SELECT conv_id AS conv, turn AS pos, CASE WHEN count(*) OVER (PARTITION BY conv_id) - (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) <= 2 THEN md5(text) END AS screen FROM conversations")

@@ -68,10 +68,11 @@ def triage_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.funnel(scores(spark, sf_dir), {"answered": F.col("a") >= 0.4, "not_confused": F.col("b") < 0.3, "not_leaked": F.col("c") < 0.3})
 
 
-@query("SELECT * FROM (VALUES (1, true), (2, true), (3, false), (4, true)) t(id, leaky)")
+@query("SELECT conv_id, turn, regexp_matches(lower(text || CASE WHEN turn % 3 = 1 THEN ' Which check was Added in the diff?' WHEN turn % 3 = 2 THEN ' See @@ 1' ELSE '' END), '" + "|".join(Q.LEAKY) + "') AS leaky FROM conversations")
 def leaky_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = spark.createDataFrame([(1, "Which check was Added?"), (2, "What does the diff do?"), (3, "What is cached?"), (4, "See line 12")], "id int, q string")
-    return df.select("id", Q.leaky(F.col("q")).alias("leaky"))
+    """Messages, two of three with an end that gives the answer away."""
+    end = F.when(F.col("turn") % 3 == 1, " Which check was Added in the diff?").when(F.col("turn") % 3 == 2, " See @@ 1").otherwise("")
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", Q.leaky(F.concat("text", end)).alias("leaky"))
 
 
 @query("WITH c AS (SELECT conv_id, coalesce(string_agg(text, ' ' ORDER BY turn) FILTER (role = 'assistant'), '') AS said, lower(coalesce(string_agg(text, ' ' ORDER BY turn) FILTER (role <> 'assistant'), '')) AS asked FROM conversations GROUP BY 1), i AS (SELECT conv_id, asked, list_distinct(regexp_extract_all(said, '[A-Za-z_][A-Za-z0-9_.]{11,}')) AS idents FROM c) SELECT conv_id, len(idents) AS n, len(list_filter(idents, lambda x: contains(asked, lower(x)))) AS n_leaked FROM i")

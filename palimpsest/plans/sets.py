@@ -91,7 +91,12 @@ def greedy_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sets.packed(rows, "conv_id", "turn", "size", 1000)
 
 
-@query()
+@query("""WITH RECURSIVE w AS (SELECT conv_id, turn, length(text) AS score, list_sort(list_distinct(list_filter(list_transform(regexp_split_to_array(trim(lower(text)), '\\s+'), lambda x: regexp_replace(x, '^[^a-z0-9]+|[^a-z0-9]+$', '', 'g')), lambda x: length(x) > 3))) AS words FROM conversations),
+r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY score DESC NULLS FIRST, turn) AS i FROM w),
+k(conv_id, i, kept) AS (SELECT DISTINCT conv_id, 0::BIGINT, []::STRUCT(turn BIGINT, words VARCHAR[])[] FROM r UNION ALL
+  SELECT k.conv_id, r.i, CASE WHEN len(coalesce(r.words, [])) = 0 OR len(kept) >= 5 OR len(list_filter(kept, lambda y: len(list_intersect(y.words, r.words)) > 0.7::DOUBLE * least(len(y.words), len(r.words)))) > 0 THEN kept ELSE list_append(kept, {'turn': r.turn::BIGINT, 'words': r.words}) END
+  FROM k JOIN r ON r.conv_id = k.conv_id AND r.i = k.i + 1)
+SELECT conv_id, unnest(list_transform(kept, lambda y: y.turn)) AS turn FROM (SELECT conv_id, max_by(kept, i) AS kept FROM k GROUP BY conv_id)""")
 def question_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Greedy: of a conversation's messages those that overlap little with longer ones, five at most."""
     c = table(spark, sf_dir, "conversations")

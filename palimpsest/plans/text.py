@@ -81,11 +81,14 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("id", X.strip_thinking(F.col("s")).alias("said"), X.fenced_command(F.col("c")).alias("command"), X.fenced_json(F.col("j")).alias("json"))
 
 
-@query("SELECT * FROM (VALUES (1, 'doi:10.1/x'), (2, 'arxiv:2101.1'), (3, 's:7'), (4, 'url:u'), (5, 'title:' || substr(sha1('eine uberschrift'), 1, 16)), (6, 'unknown')) t(id, paper)")
+@query(f"""WITH t AS (SELECT doc_id, substr(text, 1, 40) AS title FROM documents) SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'doi:10.1/x' || doc_id WHEN 1 THEN 'arxiv:2101.' || doc_id WHEN 2 THEN 's:' || doc_id WHEN 3 THEN 'url:http://x/' || doc_id
+ELSE CASE WHEN trim(title) <> '' THEN 'title:' || substr(sha1(trim(regexp_replace(regexp_replace(translate(lower(title), '{X.MARKED}', '{X.PLAIN}'), '[^\\p{{L}}\\p{{N}}_\\s]', '', 'g'), '\\s+', ' ', 'g'))), 1, 16) ELSE 'unknown' END END AS paper FROM t""")
 def paper_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(1, "10.1/X", "2101.1", "s", "7", "u", "t"), (2, "", "2101.1v3", "s", "7", "u", "t"), (3, None, None, "s", "7", "u", "t"), (4, None, None, "s", None, "u", "t"), (5, None, None, None, None, None, "Eine  Überschrift!"), (6, None, None, None, None, None, None)]
-    df = spark.createDataFrame(rows, "id int, doi string, arxiv string, source string, ident string, url string, title string")
-    return df.select("id", X.paper_id(*[F.col(c) for c in ("doi", "arxiv", "source", "ident", "url", "title")]).alias("paper"))
+    """Documents that have a doi, an arXiv number with a version, a source's id, a url, or the beginning of their text as a title only."""
+    k, ident = F.col("doc_id") % 6, F.col("doc_id").cast("string")
+    doi = F.when(k == 0, F.concat(F.lit(" 10.1/X"), ident)).otherwise("")
+    arxiv = F.when(k == 1, F.concat(F.lit("2101."), ident, F.lit("v3")))
+    return table(spark, sf_dir, "documents").select("doc_id", X.paper_id(doi, arxiv, F.lit("s"), F.when(k == 2, ident), F.when(k == 3, F.concat(F.lit("http://x/"), ident)), F.substring("text", 1, 40)).alias("paper"))
 
 
 @query("SELECT * FROM (VALUES (1, ['a', 'b']), (2, ['a', 'b']), (3, [])) t(id, tests)")

@@ -116,6 +116,28 @@ def test_bm25_against_the_formula(spark):
     assert got == pytest.approx({k: v for k, v in want.items() if v > 0}, abs=1e-6)
 
 
+def test_substituted_by_longest_name_first(spark):
+    df = spark.createDataFrame([(1, "ALICE met bob jones and annlee"), (2, None)], "id int, text string")
+    got = instances.substituted(df, "text", {"alice": "Bob", "Bob": "Carl", "bob jones": "Ann Lee", "ann": "Zoe"})
+    assert [r.text for r in got.orderBy("id").collect()] == ["Bob met Ann Lee and annlee", None]
+
+
+def test_paper_ids(spark):
+    from palimpsest.functions import text as X
+
+    given = [(1, "10.1/X", "2101.1", "s", "7", "u", "t"), (2, "", "2101.1v3", "s", "7", "u", "t"), (3, None, None, "s", "7", "u", "t"), (4, None, None, "s", None, "u", "t"), (5, None, None, None, None, None, "Eine  Überschrift!"), (6, None, None, None, None, None, None)]
+    df = spark.createDataFrame(given, "id int, doi string, arxiv string, source string, ident string, url string, title string")
+    got = [r.paper for r in df.orderBy("id").select(X.paper_id(*[F.col(c) for c in ("doi", "arxiv", "source", "ident", "url", "title")]).alias("paper")).collect()]
+    assert got[:4] == ["doi:10.1/x", "arxiv:2101.1", "s:7", "url:u"] and got[4].startswith("title:") and got[5] == "unknown"
+
+
+def test_cosine_in_blocks(spark):
+    rng = random.Random(3)
+    df = spark.createDataFrame([(k, [rng.uniform(-1, 1) for _ in range(6)]) for k in range(90)], "vec_id long, embedding array<float>")
+    asked = df.where("vec_id % 5 = 0")
+    assert rows(retrieval.cosine(df, asked, "vec_id", "embedding", 4, block=400)) == rows(retrieval.cosine(df, asked, "vec_id", "embedding", 4))
+
+
 def test_registry(spark):
     assert "passthrough" in registry.strategies()
     assert registry.strategy("PassThrough") is context.pass_through
