@@ -121,16 +121,14 @@ def similar_instances(df: DataFrame, key: str, text: str, k: int, most: int) ->
 
 def binned(df: DataFrame, group: str, order: str, size: str, budget: int, most: int) -> DataFrame:
     """Sequential bins: a bin is closed when the next item would pass the budget; the last of ``most`` bins takes all the rest."""
-    items = F.array_sort(F.collect_list(F.struct(F.col(order).cast("long").alias("o"), F.col(size).cast("long").alias("s"))))
-    start = F.struct(F.lit(0).alias("bin"), F.lit(0).cast("long").alias("used"), F.array().cast("array<struct<o: bigint, bin: int>>").alias("out"))
+    from palimpsest.operators.sets import in_order
 
-    def step(a: Column, x: Column) -> Column:
-        full = (a["used"] > 0) & (a["used"] + x["s"] > budget) & (a["bin"] < most - 1)
-        place = F.when(full, a["bin"] + 1).otherwise(a["bin"])
-        return F.struct(place.alias("bin"), F.when(full, x["s"]).otherwise(a["used"] + x["s"]).alias("used"), F.concat(a["out"], F.array(F.struct(x["o"].alias("o"), place.alias("bin")))).alias("out"))
+    def step(state: list, n: int) -> int:
+        full = state[1] > 0 and state[1] + n > budget and state[0] < most - 1
+        state[:] = [state[0] + 1, n] if full else [state[0], state[1] + n]
+        return state[0]
 
-    found = df.groupBy(group).agg(F.aggregate(items, start, step, lambda a: a["out"]).alias("b"))
-    return found.select(group, F.explode("b").alias("b")).select(group, F.col("b.o").alias(order), "b.bin")
+    return in_order(df, group, order, size, lambda: [0, 0], step, "bin").select(group, F.col(order).cast("long").alias(order), "bin")
 
 
 def padded_sample(pool: DataFrame, wanted: DataFrame, key: str, seed: int = 42) -> DataFrame:

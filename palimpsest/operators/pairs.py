@@ -75,3 +75,24 @@ def merged_intervals(df: DataFrame, key: str, gap: int) -> DataFrame:
     reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
     rows = df.withColumn("fresh", F.when(reach.isNull() | (F.col("start") > reach + gap), 1).otherwise(0)).withColumn("island", F.sum("fresh").over(w))
     return rows.groupBy(key, "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n")).drop("island")
+
+
+def snippets(facts: DataFrame, files: DataFrame, key: str, fact: str, before: int = 5, lines: int = 40, gap: int = 3, per_file: int = 2, most: int = 3) -> DataFrame:
+    """Rows (key, fact, path, start, end, snippet): parts of the files (key, path, content) of a fact's instance around lines that hold a
+    code name of the fact (key, fact, content), from ``before`` lines ahead on, ``lines`` in all; parts at most ``gap`` apart are one.  The
+    first two of a file and the first three of a fact stay, in order of path and line.  Lines count from 0, their numbers in the text from 1."""
+    names = F.array_distinct(F.regexp_extract_all("content", F.lit(r"\b[A-Za-z_][A-Za-z0-9_.]{4,}\b"), 0))
+    code = F.filter(names, lambda w: F.contains(w, F.lit("_")) | F.contains(w, F.lit(".")) | (F.regexp_like(w, F.lit("^[A-Z]")) & F.regexp_like(w, F.lit("[a-z]"))))
+    asked = facts.select(key, fact, code.alias("__names")).where(F.size("__names") > 0)
+    split = files.select(key, "path", F.split("content", "\n").alias("__lines"))
+    there = F.filter(F.transform("__lines", lambda x, i: F.when(F.exists("__names", lambda n: F.contains(x, n)), i)), lambda i: i.isNotNull())
+    pairs = asked.join(split, key).withColumn("__at", there).where(F.size("__at") > 0)
+    rows = pairs.select(key, fact, "path", F.explode("__at").alias("i"), F.size("__lines").alias("n"))
+    whole = F.struct(key, fact, "path")
+    parts = merged_intervals(rows.select(whole.alias("__k"), F.greatest(F.lit(0), F.col("i") - before).alias("start"), F.least("n", F.col("i") + lines - before).alias("end")), "__k", gap)
+    in_file = F.row_number().over(Window.partitionBy("__k").orderBy("start"))
+    parts = parts.withColumn("__r", in_file).where(F.col("__r") <= per_file).select("__k.*", "start", "end")
+    in_all = F.row_number().over(Window.partitionBy(key, fact).orderBy("path", "start"))
+    parts = parts.withColumn("__r", in_all).where(F.col("__r") <= most).drop("__r")
+    numbered = F.transform(F.slice("__lines", F.col("start") + 1, F.col("end") - F.col("start")), lambda x, i: F.concat(F.lpad((F.col("start") + i + 1).cast("string"), 4, " "), F.lit(" | "), x))
+    return parts.join(split, [key, "path"]).select(key, fact, "path", "start", "end", F.concat_ws("\n", numbered).alias("snippet"))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from palimpsest.cluster import ship
 from palimpsest.operators.ranking import running
 
 
@@ -95,12 +98,41 @@ def until_budget(df: DataFrame, group: str, order: str, size: str, budget: int)
     return df.withColumn("before", F.coalesce(F.sum(size).over(w), F.lit(0))).where(F.col("before") < budget)
 
 
+def in_order(df: DataFrame, group: str, order: str, size: str, start: Callable[[], list], step: Callable[[list, int], int], out: str) -> DataFrame:
+    """Rows (group, order, size, out) with what a fold gives for each row of a group, in order (ties by size); a null size counts as 0.
+
+    Rows are dealt by group, sorted on the disk if need be, and read once; a group's state is all that is held."""
+    rows = df.select(group, order, F.coalesce(F.col(size).cast("long"), F.lit(0).cast("long")).alias(size))
+    ship(df.sparkSession)
+
+    def run(batches):
+        import pyarrow as pa
+
+        none = object()
+        last, state = none, start()
+        for batch in batches:
+            found = []
+            for g, n in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if g != last:
+                    last, state = g, start()
+                found.append(step(state, n))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.int32())], names=[*batch.schema.names, out])
+
+    return rows.repartition(group).sortWithinPartitions(group, order, size).mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(out, T.IntegerType())]))
+
+
 def packed(df: DataFrame, group: str, order: str, size: str, budget: int) -> DataFrame:
     """Greedy packing in order: what fits is taken, what doesn't is skipped; returns (group, taken, used)."""
-    items = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(size).cast("long").alias("s"))))
-    start = F.struct(F.array().cast("array<long>").alias("taken"), F.lit(0).cast("long").alias("used"))
-    step = lambda a, x: F.when(a["used"] + x["s"] <= budget, F.struct(F.concat(a["taken"], F.array(x["o"].cast("long"))).alias("taken"), (a["used"] + x["s"]).alias("used"))).otherwise(a)
-    return df.groupBy(group).agg(F.aggregate(items, start, step).alias("p")).select(group, "p.taken", "p.used")
+
+    def step(state: list, n: int) -> int:
+        fits = state[0] + n <= budget
+        state[0] += n if fits else 0
+        return int(fits)
+
+    rows = in_order(df.where(F.col(size).isNotNull()), group, order, size, lambda: [0], step, "__taken")
+    fits = F.col("__taken") == 1
+    found = rows.groupBy(group).agg(F.array_sort(F.collect_list(F.when(fits, F.col(order).cast("long")))).alias("taken"), F.sum(F.when(fits, F.col(size)).otherwise(0)).alias("used"))
+    return found
 
 
 def word_set(c: Column) -> Column:

@@ -147,3 +147,21 @@ def messages_before_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = messages(spark, sf_dir)
     cut = m.where("role = 'assistant' AND pos > 2").groupBy("conv").agg(F.min("pos").alias("cut"))
     return m.join(cut, "conv").where("pos < cut").groupBy("conv").agg(F.count("*").alias("n"), F.min("cut").alias("step"))
+
+
+@query("""WITH c AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations),
+f AS (SELECT conv_id, turn AS fact, list_filter(list_distinct(regexp_extract_all(regexp_replace(text, '[^\\x00-\\x7F]', ' ', 'g'), '\\b[A-Za-z_][A-Za-z0-9_.]{4,}\\b')), lambda w: contains(w, '_') OR contains(w, '.') OR (regexp_matches(w, '^[A-Z]') AND regexp_matches(w, '[a-z]'))) AS names FROM c WHERE role = 'user'),
+d AS (SELECT conv_id, 't' || turn AS path, string_split(replace(text, ' ', chr(10)), chr(10)) AS lines FROM c WHERE role = 'assistant'),
+m AS (SELECT conv_id, fact, path, len(lines) AS n, unnest(list_filter(range(0, len(lines)), lambda i: len(list_filter(names, lambda w: contains(lines[i + 1], w))) > 0)) AS i FROM f JOIN d USING (conv_id)),
+r AS (SELECT conv_id, fact, path, greatest(0, i - 5) AS s, least(n, i + 35) AS e FROM m),
+g AS (SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY conv_id, fact, path ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 3 THEN 0 ELSE 1 END AS fresh FROM r),
+k AS (SELECT *, sum(fresh) OVER (PARTITION BY conv_id, fact, path ORDER BY s, e) AS island FROM g), u AS (SELECT conv_id, fact, path, min(s) AS s, max(e) AS e FROM k GROUP BY conv_id, fact, path, island),
+v AS (SELECT *, row_number() OVER (PARTITION BY conv_id, fact, path ORDER BY s) AS a FROM u), w AS (SELECT *, row_number() OVER (PARTITION BY conv_id, fact ORDER BY path, s) AS b FROM v WHERE a <= 2)
+SELECT conv_id, fact, path, s::INT AS "start", e::INT AS "end", md5(array_to_string(list_transform(range(s, e), lambda i: lpad((i + 1)::VARCHAR, 4, ' ') || ' | ' || lines[i + 1]), chr(10))) AS digest FROM w JOIN d USING (conv_id, path) WHERE b <= 3""")
+def fact_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """User rows (without letters beyond ASCII, at whose borders the engines differ) as facts, assistant rows as files of one word a line: the
+    parts around words that look like code names."""
+    c = table(spark, sf_dir, "conversations").withColumn("text", F.coalesce("text", F.lit("")))
+    facts = c.where("role = 'user'").select("conv_id", F.col("turn").alias("fact"), F.regexp_replace("text", r"[^\x00-\x7F]", " ").alias("content"))
+    files = c.where("role = 'assistant'").select("conv_id", F.concat(F.lit("t"), F.col("turn").cast("string")).alias("path"), F.replace("text", F.lit(" "), F.lit("\n")).alias("content"))
+    return P.snippets(facts, files, "conv_id", "fact").select("conv_id", "fact", "path", "start", "end", F.md5("snippet").alias("digest"))
