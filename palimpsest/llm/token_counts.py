@@ -187,7 +187,7 @@ def trees(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", t
         counts = [np.array(one.counts(w), np.int64) for w in words]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), _lists(chars), _lists(counts)], names=[key, "text", "chars", "counts"])
 
-    return map_arrow(docs.select(key, text), run, T.StructType([docs.schema[key], T.StructField("text", T.StringType()), *STATE]), rows=512)
+    return map_arrow(docs.select(key, text), run, T.StructType([docs.schema[key], T.StructField("text", T.StringType()), *STATE]), rows=512, size=2 << 20)
 
 
 def with_edits(states: DataFrame, edits: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -223,4 +223,4 @@ def edited(states: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id"
         )
 
     fields = [states.schema[key], T.StructField("text", T.StringType()), *STATE, *(T.StructField(n, T.LongType()) for n in ("n_tokens", "n_tokens_after", "encoded_chars"))]
-    return map_arrow(states.select(key, "text", "chars", "counts", edits), run, T.StructType(fields), rows=512)
+    return map_arrow(states.select(key, "text", "chars", "counts", edits), run, T.StructType(fields), rows=512, size=4 << 20)
